@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols: insults with a learned weight, threats, targets, negations, reporting verbs,
-quotation marks, clause ends, other words. Four small transducers rewrite the stream, composed
+quotation marks, clause ends, other words. Small transducers rewrite the stream, composed
 into one machine: negation marks what stands in its scope, reported speech marks what is quoted or
-said by others, target marks what shares a clause with a person spoken to, threat joins threats
-with targets. Each clause with a match then adds its weights to the pattern it matched (plain,
-targeted, threat, negated, reported); a logistic model over the patterns of all clauses gives the
-score, so how much a negation or a quotation excuses is learned and not assumed.
+said by others, target marks what shares a clause with a person spoken to; a threat counts only
+with a target. Each clause with a match then adds its weights to the pattern it matched (plain,
+targeted, threat, negated, reported). A logistic model gives the score, from each pattern's
+weight per hundred words of the text and from the whole weight; so how much a negation or a
+quotation excuses is learned and not assumed.
 
 The insult lexicon is learned from labelled rows: words and word beginnings (``STEM`` letters)
 whose log odds of standing in a toxic document are high by a lower confidence bound. Beginnings
@@ -138,8 +139,8 @@ class Model:
     """Entries of the insult lexicon ('=word' or 'stem'), and the weights of the patterns."""
 
     lexicon: dict[str, float]
-    weights: tuple[float, ...] = (1.0, 1.2, 1.2, 0.4, 0.4)
-    bias: float = -3.0
+    weights: tuple[float, ...] = (1.0, 1.2, 1.2, 0.4, 0.4, 0.5)
+    bias: float = -4.0
 
     def __post_init__(self):
         self.memo: dict[str, tuple] = {}
@@ -150,7 +151,7 @@ class Model:
         core, out = _core(word), []
         lead = word[: len(word) - len(word.lstrip("\"“”„«».,!?;:…()[]|*$#%&<>"))]
         out += [(QUOTE, 0.0)] * any(c in QUOTES for c in lead)
-        weight = max([self.lexicon.get("=" + core, 0.0), *(self.lexicon.get(core[:n], 0.0) for n in STEM if len(core) >= n)])
+        weight = max([self.lexicon.get("=" + core, 0.0), *(self.lexicon.get(core[:n], 0.0) for n in STEM if len(core) > n)])
         out.append((INSULT, weight) if weight > 0 else self.closed.get(core, (OTHER, 0.0)))
         tail = word[len(lead) + len(core) :]
         out += [(QUOTE, 0.0)] * any(c in QUOTES for c in tail) + [(END, 0.0)] * any(c in ENDS for c in tail)
@@ -164,9 +165,9 @@ class Model:
         if len(self.memo) > MEMO:
             self.memo = {}
         if not any(k in (INSULT, THREAT) for s in found for k, _ in s):
-            return [0.0] * len(PATTERNS)
-        # long texts do not count more clauses than a few
-        return [math.log1p(x) for x in clause_scores([y for s in found for y in s])]
+            return [0.0] * (len(PATTERNS) + 1)
+        weight = clause_scores([y for s in found for y in s])
+        return [math.log1p(100 * x / len(words)) for x in weight] + [math.log1p(sum(weight))]
 
     def score(self, features: list[float]) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(w * x for w, x in zip(self.weights, features))))))
@@ -228,12 +229,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and the five pattern weights of every row."""
+    """doc_id, score (0 to 1) and the weights of the five patterns per hundred words (log1p) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [model.features(t) for t in b.column(1).to_pylist()]
-            patterns = np.array(f, float).reshape(len(f), len(PATTERNS))
+            patterns = np.array(f, float).reshape(len(f), len(PATTERNS) + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(x) for x in f], pa.float64()), *(pa.array(patterns[:, k]) for k in range(len(PATTERNS)))], names=["doc_id", "score", *PATTERNS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
