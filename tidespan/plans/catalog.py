@@ -293,7 +293,7 @@ def counter_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(ts.counter_rate(F.col("value"), F.col("ts"), w), 6).alias("rate"))
 
 
-@query("SELECT event_id, 'cpu_pct' AS metric, value AS value, 90.0 AS threshold, 'critical' AS severity FROM events WHERE value > 90 UNION ALL SELECT event_id, 'load_1m', value / 10, 8.0, 'warning' FROM events WHERE value / 10 > 8")
+@query("SELECT event_id, 'cpu_pct' AS metric, value AS value, CAST(90.0 AS DOUBLE) AS threshold, 'critical' AS severity FROM events WHERE value > 90 UNION ALL SELECT event_id, 'load_1m', value / 10, CAST(8.0 AS DOUBLE), 'warning' FROM events WHERE value / 10 > 8")
 def metric_alerts(spark, sf_dir):
     return alerts(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("cpu_pct"), (F.col("value") / 10).alias("load_1m")))
 
