@@ -7,9 +7,10 @@ rest is shared again, until no part is above its cap.
 Repetitions: a source with r = target / size takes every document floor(r) times; the fraction
 that is left takes some once more. Documents of a source are dealt to shards of bounded size by
 a seeded hash. In a shard, document sizes run from large to small (by powers of two, in seeded
-order within a power), and one is taken whenever the words owed are at least half its size. What
-a large document takes too much or leaves is so made up by smaller ones, and a shard ends within
-about half of its smallest documents of what it owes. Documents are always taken whole.
+order within a power), and one is taken whenever the words owed are at least 1 - fraction of its
+size. So what a large document takes too much, or leaves, is never more than smaller ones can make
+up, and a shard ends within about one of its smallest documents of what it owes. Documents are
+always taken whole.
 
 Defined results: a null text has size 0 and is taken 0 times; a source of size 0 has target 0;
 a null source is a source of its own, last in order; rows equal in id and size are dealt together,
@@ -65,7 +66,7 @@ def _take(fraction: np.ndarray, size: np.ndarray) -> np.ndarray:
     out, owed = np.zeros(len(size), np.int64), 0.0
     for k, (f, s) in enumerate(zip(fraction.tolist(), size.tolist())):
         owed += f * s
-        if s and owed >= s / 2:
+        if s and owed >= s * (1 - f):
             out[k], owed = 1, owed - s
     return out
 
