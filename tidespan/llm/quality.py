@@ -5,12 +5,12 @@ the condition of highest FOIL gain on the growing part of the labelled rows, is
 the prefix with the best ``(bad - good) / (bad + good)`` on the pruning part, and is kept if it
 is precise there. Rows it covers go and the next rule grows on the rest. The list becomes one
 ``CASE WHEN`` column. Every step is a Spark aggregation over all labelled rows; the driver sees
-only histograms of ``features x BINS x 2`` counts.
+only quantiles of each class and histograms of ``features x 2 BINS x 2`` counts.
 
 Defined results: a null text counts as empty and has no words, so it fails the base rule; a text
 without labels changes nothing; with no labelled rows, or only one class, the list is empty and
 only the base rule rejects; a document labelled twice counts twice; equal gains go to the
-feature first by name, then the lower threshold; input columns other than id and text are not read.
+feature first by name, then to the threshold that covers less; input columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -158,6 +158,11 @@ def _gain(p0: float, n0: float, p1: float, n1: float) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
+def _between(values: list[float]) -> list[float]:
+    """Thresholds half-way between neighbouring values, so that they lie in gaps where there are any."""
+    return [(a + b) / 2 for a, b in zip(values, values[1:])]
+
+
 def _best(hist: dict, cuts: dict[str, list[float]], taken: list[Condition]) -> Condition | None:
     """The condition of highest gain; hist[feature][bin] is [good, bad]."""
     total = [sum(v[y] for v in next(iter(hist.values()), {}).values()) for y in (0, 1)]
@@ -168,7 +173,11 @@ def _best(hist: dict, cuts: dict[str, list[float]], taken: list[Condition]) -> C
             low = [low[y] + hist[f].get(k, (0, 0))[y] for y in (0, 1)]
             for above, (n, p) in ((False, low), (True, [total[y] - low[y] for y in (0, 1)])):
                 c = Condition(f, above, cut)
-                if c not in taken and p >= MIN_COVERED and (g := _gain(total[1], total[0], p, n)) > gain:
+                if c in taken or p < MIN_COVERED:
+                    continue
+                g = _gain(total[1], total[0], p, n)
+                # of equal thresholds of a feature the one that covers less is taken
+                if g > gain + 1e-9 or (best and above and best.feature == f and best.above and g > gain - 1e-9):
                     best, gain = c, g
     return best
 
@@ -183,15 +192,16 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     )
     rows = materialize(rows, "quality-labelled")
     features = feature_columns()
-    grid = [k / BINS for k in range(1, BINS)] + [0.99]
-    quantiles = rows.agg(*[F.percentile_approx(c, grid, 10_000).alias(f) for f, c in features.items()]).first()
-    cuts = {f: sorted(set(quantiles[f] or [])) for f in features}
-    binned = F.array(*[F.struct(F.lit(f).alias("f"), F.size(F.filter(F.lit(cuts[f] or [0.0]), lambda t, c=c: t < c)).alias("b")) for f, c in features.items()])
+    grid = [k / BINS for k in range(BINS + 1)]  # with each class's least and greatest value
+    quantiles = rows.groupBy("bad").agg(*[F.percentile_approx(c, grid, 10_000).alias(f) for f, c in features.items()]).collect()
+    cuts = {f: _between(sorted({v for r in quantiles for v in r[f]})) for f in features}
+    bin_of = lambda f: F.size(F.filter(F.lit(cuts[f] or [0.0]), lambda t: t < features[f]))
+    binned = F.array(*[F.struct(F.lit(f).alias("f"), bin_of(f).alias("b")) for f in features])
 
     def histogram(where: Column) -> dict:
         out: dict = {f: {} for f in features}
         found = rows.where(where & ~F.col("prune")).select("bad", F.explode(binned).alias("x")).groupBy("x.f", "x.b").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
-        for r in found.collect():  # features x BINS rows at most
+        for r in found.collect():  # features x 2 BINS rows at most
             out[r["f"]][r["b"]] = (r["good"], r["bad"])
         return out
 
