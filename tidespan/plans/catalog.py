@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import timeseries as ts
 from ..model import compact, tags_map, to_compact, to_extended, validation_error, with_series
-from ..operators import join, scan, stats, write
+from ..operators import join, lifecycle, scan, stats, write
 from ..operators.lifecycle import expired
+from ..operators.versions import VersionedTable
+from ..scratch import new_path
 from ..session import register
-from ..streaming.ingest import alerts, sessions, windowed
+from ..sources import files, fixtures
+from ..streaming.ingest import alerts, ingest, last_values, sessions, windowed
 from .families import FAMILIES
 from .sql import union_tiers
 
@@ -367,6 +370,136 @@ def series_listing(spark, sf_dir):
     return e.select("tag_event_type", "tag_user_id", F.size(tags_map(e)).alias("n_tags")).groupBy("tag_event_type").agg(F.count("*").alias("n"), F.countDistinct("tag_user_id").alias("n_series"))
 
 
+# --- versions, stored measurements, streams ----------------------------------------------------
+
+
+def _versions(spark, sf_dir) -> VersionedTable:
+    """Three appends of a third of the events each (versions 1 to 3)."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("float").alias("value"))
+    t = VersionedTable(spark, new_path(spark, "versions"))
+    t.create({"event_id": "bigint", "user_id": "bigint", "value": "float"}, at=0.0)
+    for k in range(3):
+        t.append(e.where(f"event_id % 3 = {k}"), at=float(k + 1))
+    return t
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 <= 1")
+def time_travel(spark, sf_dir):
+    return _versions(spark, sf_dir).scan(at=2.5, columns=["event_id", "user_id"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 = 0")
+def rollback_read(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    t.rollback(1)
+    return t.scan(columns=["event_id", "user_id"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 <= 1")
+def scan_by_tag(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    t.tag("two", 2)
+    return t.scan(ref="two", columns=["event_id", "user_id"])
+
+
+@query("SELECT event_id, user_id AS person, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, NULL::VARCHAR AS note FROM events UNION ALL SELECT -1, 7, 0.5, 'new'")
+def schema_evolution_read(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    t.evolve(rename={"user_id": "person"}, promote={"value": "double"}, add={"note": "string"})
+    t.append(spark.createDataFrame([(-1, 7, 0.5, "new")], "event_id long, person long, value double, note string"))
+    return t.scan()
+
+
+@query("SELECT count(*) AS n_rows, 1 AS n_files, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
+def compact_preserves_rows(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    t.compact()
+    return t.scan().agg(F.count("*").alias("n_rows"), F.lit(len(t.current().files)).alias("n_files"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT 'append' AS operation, 3 AS versions, CAST(3 * (SELECT count(*) FROM events WHERE event_id % 3 = 0) + 2 * (SELECT count(*) FROM events WHERE event_id % 3 = 1) + (SELECT count(*) FROM events WHERE event_id % 3 = 2) AS BIGINT) AS n_rows")
+def version_history(spark, sf_dir):
+    return _versions(spark, sf_dir).history().where("operation = 'append'").groupBy("operation").agg(F.count("*").cast("int").alias("versions"), F.sum("n_rows").alias("n_rows"))
+
+
+@query("SELECT 'added' AS change, 2 AS n_files, count(*) AS n_rows FROM events WHERE event_id % 3 > 0 UNION ALL SELECT 'deleted', 0, 0")
+def version_diff(spark, sf_dir):
+    t = _versions(spark, sf_dir)
+    return stats.snapshot_diff(t.files(1), t.files())
+
+
+def _stored(spark, sf_dir) -> str:
+    """A day of events, with a second write of every third, stored by tier and day."""
+    path = new_path(spark, "measurement")
+    day = events(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'").withColumn("write_seq", F.lit(1))
+    write.append(day, path)
+    write.append(day.where("event_id % 3 = 0").withColumn("value", F.col("value") * 2).withColumn("write_seq", F.lit(2)), path)
+    return path
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11' QUALIFY row_number() OVER (PARTITION BY event_type, user_id, ts ORDER BY CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END DESC) = 1")
+def compaction_lww(spark, sf_dir):
+    path = _stored(spark, sf_dir)
+    return lifecycle.compact(spark, path, new_path(spark, "staging"), dt.date(2024, 1, 10)).select("event_id", "value")
+
+
+@query("SELECT 'warm' AS tier, count(*) + count(*) FILTER (event_id % 3 = 0) AS n FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+def demoted_tier(spark, sf_dir):
+    path = _stored(spark, sf_dir)
+    lifecycle.demote_due(spark, path, new_path(spark, "staging"), dt.date(2024, 1, 15))
+    return lifecycle.read(spark, path).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) + count(*) FILTER (event_id % 3 = 0) AS n_rows, min(ts) AS ts_min, max(ts) AS ts_max, min(event_type) AS low, max(event_type) AS high, CAST(0 AS BIGINT) AS nulls FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+def file_statistics(spark, sf_dir):
+    f = stats.file_stats(lifecycle.read(spark, _stored(spark, sf_dir)), ["tag_event_type"])
+    return f.agg(F.sum("row_count").alias("n_rows"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.min("tag_event_type_min").alias("low"), F.max("tag_event_type_max").alias("high"), F.sum("tag_event_type_nulls").alias("nulls"))
+
+
+@query("SELECT event_id, value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+def archive_restore(spark, sf_dir):
+    path = new_path(spark, "archive")
+    day = events(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'")
+    files.write_json_lines(day, path)
+    return spark.read.schema(day.schema).json(path).select("event_id", "value")
+
+
+@query("SELECT event_id, event_type AS tag_event_type, value FROM events WHERE event_id < 200")
+def csv_round_trip(spark, sf_dir):
+    path = new_path(spark, "csv")
+    files.write_csv(events(spark, sf_dir).where("event_id < 200").withColumn("measurement", F.lit("events")).withColumn("timestamp", ts.micros(F.col("timestamp"))), path)
+    return files.read_csv_points(spark, path).select("event_id", "tag_event_type", "value")
+
+
+@query("SELECT 'host_' || lpad(CAST(i % 10 AS VARCHAR), 4, '0') AS tag_host, count(*) AS n, CAST(sum(10 * i) AS BIGINT) AS total FROM range(1000) t(i) GROUP BY 1")
+def fixture_simple(spark, sf_dir):
+    return fixtures.simple(spark, 1000).groupBy("tag_host").agg(F.count("*").alias("n"), F.sum("count").alias("total"))
+
+
+def _stream(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The events as a batch, and the same files as a stream."""
+    path = new_path(spark, "stream-in")
+    events(spark, sf_dir).write.parquet(path)
+    batch = spark.read.parquet(path)
+    return batch, spark.readStream.schema(batch.schema).parquet(path)
+
+
+@query("SELECT event_type AS tag_event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    out = new_path(spark, "stream-out")
+    ingest(_stream(spark, sf_dir)[1], out, new_path(spark, "stream-log")).awaitTermination(300)
+    return spark.read.parquet(out).groupBy("tag_event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_type AS tag_event_type, max(ts) AS timestamp, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def stream_last_values(spark, sf_dir):
+    out, log = new_path(spark, "last"), new_path(spark, "last-log")
+    state = last_values(_stream(spark, sf_dir)[1], ["tag_event_type"], ["timestamp", "event_id"])
+    write_all = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    state.writeStream.outputMode("complete").foreachBatch(write_all).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination(300)
+    return spark.read.parquet(out).select("tag_event_type", "last.timestamp", "last.value")
+
+
 # --- SQL families ------------------------------------------------------------------------------
 
 
