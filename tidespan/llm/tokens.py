@@ -25,6 +25,9 @@ BATCH_CHARS = 4_000
 #: Punctuation that is cut from a unit's end if a letter or digit stands before it.
 TAIL = ".,;:!?*$#%&\""
 
+#: Texts on which a tokenizer shows whether it can be served.
+PROBES = ["one two", " one two.", "One, two; three!\nfour 5.6 7", "a  b\n\nc \td", "it's we'll don't", "x<y> (z) #1 *** $$$ ..."]
+
 # Single visible spaces and line breaks are the usual case; all else takes the slower cut.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -65,6 +68,8 @@ class UnitEncoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        if self.encode_batch(PROBES) != self._plain(PROBES):
+            raise ValueError(f"{path}: its pieces depend on what stands across spaces")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
