@@ -176,3 +176,20 @@ def digests(parts: DataFrame) -> DataFrame:
     """
     rows = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return rows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def oracle_sql(extra: list[tuple[int, int, str, str]]) -> str:
+    """The digests of table ``conversations`` and of ``extra`` (conv_id, turn, role, text) rows, in DuckDB."""
+    rows = "".join(f" UNION ALL SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in extra)
+    escaped = lambda c: rf"length(regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g'))"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+               FROM (SELECT conv_id, turn, role, text FROM conversations{rows}))
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = '{TRAINED_ROLE}'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' {order}) FILTER (role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
+        CAST(sum({escaped("role")} + {escaped("text")} + {sum(map(len, CONTROLS))}) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """

@@ -64,7 +64,9 @@ def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner")
     side = small.select(F.col(key).alias("__key"), *[c for c in small.columns if c != key])
     if side.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(side), big[key].eqNullSafe(side["__key"]), how).drop("__key")
-    left = big.withColumn("__salt", (F.rand(17) * SALTS).cast("int"))
+    # salts come from the rows' values, so that a task that runs again deals its rows as before
+    others = [F.col(f"`{c}`") for c, kind in big.dtypes if c != key and not kind.startswith("map")]
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(*others, F.lit(17)), F.lit(SALTS)).cast("int"))
     right = side.withColumn("__salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = left[key].eqNullSafe(right["__key"]) & (left["__salt"] == right["__salt_s"])
     return left.join(right, on, how).drop("__key", "__salt", "__salt_s")
