@@ -67,33 +67,44 @@ def _encoded(tokenizer: str):
     return run
 
 
-def assemble(turns: list[dict], base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask of turns with role_ids, text_ids, trained; control ids are base, base + 1, base + 2."""
+def _slices(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of integers, as views of its values."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def assemble(turns: list[tuple], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and loss mask of turns (number, trained, role's ids, text's ids); control ids are base, base + 1, base + 2."""
     parts, marks, at = [], [], 0
-    for t in turns:
-        role, text = np.asarray(t["role_ids"], np.int32), np.asarray(t["text_ids"], np.int32)
-        parts += [[base], role, [base + 1], text, [base + 2]]
+    start, separator, end = (np.array([base + k], np.int32) for k in range(3))
+    for _, trained, role, text in turns:
+        parts += [start, role, separator, text, end]
         begin = at + 2 + len(role)
-        if t["trained"]:
+        if trained:
             marks.append((begin, begin + len(text)))
         at = begin + len(text) + 1
     step = np.zeros(at + 1, np.int64)
     for lo, hi in marks:
         step[lo] += 1
         step[hi] -= 1
-    ids = np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return ids, np.cumsum(step)[:at].astype(np.int8)
 
 
 def _assembled(base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, mask = [], []
-            for turns in b.column("turns").to_pylist():
-                i, m = assemble(sorted(turns, key=lambda t: t["n"]), base)
+            ids, mask, counts = [], [], []
+            turns = b.column("turns")
+            cells = turns.values
+            rows = list(zip(cells.field("n").to_pylist(), cells.field("trained").to_pylist(), _slices(cells.field("role_ids")), _slices(cells.field("text_ids"))))
+            at = turns.offsets.to_pylist()
+            for lo, hi in zip(at, at[1:]):
+                i, m = assemble(sorted(rows[lo:hi], key=lambda t: t[0]), base)
                 ids.append(i)
                 mask.append(m)
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array([len(t) for t in b.column("turns").to_pylist()], pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int8()))], names=["conv_id", "part", "n_turns", "ids", "loss_mask"])
+                counts.append(hi - lo)
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(counts, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int8()))], names=["conv_id", "part", "n_turns", "ids", "loss_mask"])
 
     return run
 
@@ -135,7 +146,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         tok = load(tokenizer)
         turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for b in batches:
-            got = [parse(np.asarray(i, np.int32), np.asarray(m, np.int8), tok) for i, m in zip(b.column("ids").to_pylist(), b.column("loss_mask").to_pylist())]
+            got = [parse(i, m, tok) for i, m in zip(_slices(b.column("ids")), _slices(b.column("loss_mask")))]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array([[{"role": r, "text": t} for r, t in g[0]] for g in got], turn), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2] for g in got], pa.int64())], names=["conv_id", "part", "turns", "loss_texts", "chars"])
 
     return formatted.mapInArrow(run, "conv_id long, part long, turns array<struct<role:string,text:string>>, loss_texts array<string>, chars long")
