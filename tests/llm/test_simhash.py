@@ -100,3 +100,9 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 9]
     assert simhash.drop_near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_rows_without_ids(spark):
+    t, u = prose(random.Random(8), 60), prose(random.Random(9), 60)
+    docs = documents(spark, [(None, t), (4, t), (None, u), (None, u)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([("4", t), ("None", min([t, u], key=lambda x: {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}[x]))])

@@ -263,5 +263,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(near_duplicates(docs, id_col, text_col), "simhash-components")
     first = found.select(F.col("component_id").alias("__keep")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"))
-    rows = rows.join(first, F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
-    return rows.groupBy("__id").agg(F.min_by("__row", "__h").alias("__row")).select("__row.*")
+    # one shuffle of whole rows: the join and the aggregation share their partitioning
+    least = F.min_by("__row", "__h").alias("__row")
+    kept = rows.join(first, F.col("__id") == F.col("__keep"), "left_semi").groupBy("__id").agg(least).select("__row.*")
+    if first.where("__keep IS NULL").limit(1).count():
+        loose = rows.where("__id IS NULL").agg(least).where("__row IS NOT NULL").select("__row.*")
+        kept = kept.unionByName(loose)
+    return kept
