@@ -108,3 +108,38 @@ def test_winnowing_guarantee():
 
 def test_empty(spark):
     assert ld.dedup_lines(documents(spark, EDGES).where(F.lit(False))).count() == 0
+
+
+def test_passages_inside_lines(spark):
+    """Passages that begin and end inside longer lines go, but for their first place and their ends."""
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    planted = [fresh(n) for n in (70, 90, 150) for _ in range(5)]
+    rows, inside = [], {}
+    for k, p in enumerate(planted):
+        for d in range(3):
+            inside[10 * k + d] = (fresh(rng.randrange(5, 40)), p, fresh(rng.randrange(5, 40)))
+            rows.append((10 * k + d, "  a  line\n" + " ".join(inside[10 * k + d]) + "\n\nlast line"))
+    got = {r["doc_id"]: r for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    for i, t in rows:
+        before, p, after = inside[i]
+        n = len(p.split())
+        if i % 10 == 0:
+            assert got[i]["text"] == t
+            continue
+        assert n - 4 * ld.CUT + 2 <= got[i]["n_removed_words"] <= n and got[i]["n_removed"] == 0
+        assert got[i]["text"].startswith("  a  line\n" + before) and got[i]["text"].endswith(after + "\n\nlast line")
+        assert len(got[i]["text"].split()) == len(t.split()) - got[i]["n_removed_words"]
+
+
+def test_units_are_bounded_and_follow_the_words():
+    rng = random.Random(5)
+    for _ in range(200):
+        p = [str(rng.getrandbits(30)).encode() + rng.choice([b"", b"."]) for _ in range(60)]
+        found = []
+        for _ in range(2):
+            pre, post = ([str(rng.getrandbits(30)).encode() for _ in range(rng.randrange(30))] for _ in range(2))
+            ends = ld.cuts(pre + p + post)
+            assert all(0 < b - a <= 2 * ld.CUT for a, b in zip(ends, ends[1:]))
+            found.append({c - len(pre) for c in ends if ld.CUT <= c - len(pre) <= len(p) - ld.CUT})
+        assert found[0] == found[1]

@@ -1,30 +1,38 @@
 """Line dedup by winnowing over line hashes.
 
-A document is its sequence of lines with words; a line's hash is that of its words. For each line
-a window runs from it to the first line at which it holds ``min_words`` words. Of each window the
-line of least hash (the last of equals) is selected: these minima are the fingerprints. Two equal
-runs of whole lines with ``min_words`` words hold equal windows, which select equal lines, so every
-such repeat is guaranteed to share a fingerprint.
+A document is its sequence of lines with words. Lines of more than ``CUT`` words are cut into units
+of at most ``CUT`` words inside, at places that only the words around them decide: of each ``CUT``
+neighbouring places the one of least hash (the last of equals), sentence ends before all others.
+Any other line is one unit; a unit's hash is that of its words. Equal passages are cut alike
+except within ``CUT`` places of their ends, wherever in a line they lie.
+
+For each unit a window runs from it to the first unit at which it holds ``min_words`` words. Of each
+window the unit of least hash (the last of equals) is selected: these minima are the fingerprints.
+Two equal runs of whole units with ``min_words`` words hold equal windows, which select equal units,
+so every such repeat is guaranteed to share a fingerprint. A repeated passage of n words inside
+lines holds at least ``n - 4 * CUT + 2`` words of equal whole units.
 
 Fingerprints that occur at two places or more are joined by position: of the windows that selected
 them, each content's first place in the corpus (by id, then by place in the document) is the source
-and every later place a match. Matches are extended line by line both ways against the source's
-document, and the lines they cover are deleted. A deleted line always equals a line that comes
-earlier, so one copy of everything stays.
+and every later place a match. Matches are extended unit by unit both ways against the source's
+document, and the units they cover are deleted, with the white space after them. A deleted unit
+always equals a unit that comes earlier, so one copy of everything stays.
 
 No pairs are formed: each later place meets one source. Hot windows are looked up by broadcast if
 their sources are few (counted) and over salts otherwise.
 
 Defined results: null texts stay null and have no lines; lines without words are never deleted nor
-counted in runs; rows equal in id and text count as one document and get the same result; null
-ids come first; documents of fewer than ``min_words`` words have no windows and stay whole.
+counted in runs; a line goes as a line if all its units do, else the rest of it stays as it was
+written; rows equal in id and text count as one document and get the same result; null ids come
+first; documents of fewer than ``min_words`` words have no windows and stay whole.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,21 +41,44 @@ from pyspark.sql import functions as F
 from .common import join_lookup, materialize
 
 MIN_WORDS = 20
+#: Neighbouring places inside a line of which one is cut.
+CUT = 11
+ENDS = frozenset(b".!?")
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a line is cut: numbers of words before each cut, with 0 and all."""
+    n = len(words)
+    if n <= CUT:
+        return [0, n]
+    rank = [zlib.crc32(b, zlib.crc32(a)) | (0 if a[-1] in ENDS else 1 << 32) for a, b in zip(words, words[1:])]
+    out, best = [0], -1
+    for hi in range(CUT - 1, n - 1):
+        if best <= hi - CUT:
+            part = rank[hi - CUT + 1 : hi + 1]
+            best = hi - part[::-1].index(min(part))
+        elif rank[hi] <= rank[best]:
+            best = hi
+        if out[-1] != best + 1:
+            out.append(best + 1)
+    return [*out, n]
 
 
 def read_lines(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Of the lines with words: place among all lines, hash (signed), number of words."""
+    """Of the units of the lines with words: place of the line among all lines, hash (signed), number of words."""
     at, code, size = [], [], []
     for k, line in enumerate(text.encode().split(b"\n")):
         if words := line.split():
-            at.append(k)
-            code.append(xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63))
-            size.append(len(words))
+            ends = cuts(words)
+            for a, b in zip(ends, ends[1:]):
+                at.append(k)
+                code.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])) - (1 << 63))
+                size.append(b - a)
     return at, code, size
 
 
 def windows(code: list[int], size: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(first line, last line, selected line) of every window of at least min_words words."""
+    """(first unit, last unit, selected unit) of every window of at least min_words words."""
     out, j, total = [], -1, 0
     for i in range(len(code)):
         while total < min_words and j + 1 < len(code):
@@ -62,10 +93,6 @@ def windows(code: list[int], size: list[int], min_words: int) -> list[tuple[int,
     return out
 
 
-def _key(codes: list[int]) -> int:
-    return xxhash.xxh64_intdigest(np.array(codes, "<i8").tobytes()) - (1 << 63)
-
-
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,15 +100,15 @@ def _lines(min_words: int):
             for text in b.column("text").to_pylist():
                 _, code, size = read_lines(text)
                 codes.append(code)
-                wins.append([{"f": code[p], "p": p, "key": _key(code[i : j + 1]), "i": i, "j": j} for i, j, p in windows(code, size, min_words)])
-            win = pa.list_(pa.struct([("f", pa.int64()), ("p", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]))
+                wins.append([{"p": p, "j": j} for _, j, p in windows(code, size, min_words)])  # the k-th begins at unit k
+            win = pa.list_(pa.struct([("p", pa.int32()), ("j", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dk"), pa.array(codes, pa.list_(pa.int64())), pa.array(wins, win)], names=["doc_id", "dk", "lines", "wins"])
 
     return run
 
 
 def extend(code: list[int], source: list[int], same: bool, seeds: list[tuple[int, int, int]]) -> set[int]:
-    """Lines covered by the seeds (first, last, first in source), extended both ways."""
+    """Units covered by the seeds (first, last, first in source), extended both ways."""
     out: set[int] = set()
     for i, j, s in seeds:
         if i in out and j in out:
@@ -108,48 +135,62 @@ def _dk(id_col: str, text_col: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """dk, gone: the places, among a document's lines with words, of lines to delete."""
+    """dk, gone: the places, among a document's units, of those to delete."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _dk(id_col, text_col).alias("dk"), F.col(text_col).alias("text"))
-    lines = materialize(texts.mapInArrow(_lines(min_words), "doc_id long, dk long, lines array<long>, wins array<struct<f:long,p:int,key:long,i:int,j:int>>"), "line-hashes")
-    # rows equal in id and text count once
-    win = lines.select("doc_id", "dk", F.explode("wins").alias("w")).select("doc_id", "dk", "w.*").distinct()
-    place = F.struct("doc_id", "dk", "p")
-    shared = win.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("f")
-    win = materialize(win.join(shared, "f", "left_semi"), "line-windows")
+    lines = materialize(texts.mapInArrow(_lines(min_words), "doc_id long, dk long, lines array<long>, wins array<struct<p:int,j:int>>"), "line-hashes")
+    # rows equal in id and text have equal places and count once
+    picked = lines.select("dk", "lines", F.explode(F.array_distinct("wins.p")).alias("p")).select(F.col("lines")[F.col("p")].alias("f"), F.xxhash64("dk", "p").alias("place"))
+    shared = picked.groupBy("f").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("f")
+    win = lines.select("doc_id", "dk", "lines", F.posexplode("wins").alias("i", "w"))
+    win = win.select("doc_id", "dk", "i", "w.j", F.col("lines")[F.col("w.p")].alias("f"), F.xxhash64(F.slice("lines", F.col("i") + 1, F.col("w.j") - F.col("i") + 1)).alias("key"))
+    win = materialize(win.join(shared, "f", "left_semi").drop("f"), "line-windows")
     where = F.struct("doc_id", "dk", "i")
     source = win.groupBy("key").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b")
     source = materialize(source.select("key", F.col("a.dk").alias("s_dk"), F.col("a.i").alias("s_i")), "line-sources")
     match = join_lookup(win.select("dk", "key", "i", "j"), source, "key").where((F.col("dk") != F.col("s_dk")) | (F.col("i") != F.col("s_i")))
-    seeds = match.groupBy("dk", "s_dk").agg(F.collect_list(F.struct("i", "j", "s_i")).alias("seeds"))  # one document's lines at most
+    seeds = match.groupBy("dk", "s_dk").agg(F.collect_set(F.struct("i", "j", "s_i")).alias("seeds"))  # one document's units at most
     whole = lines.groupBy("dk").agg(F.first("lines").alias("lines"))
     both = seeds.join(whole, "dk").join(whole.select(F.col("dk").alias("s_dk"), F.col("lines").alias("s_lines")), "s_dk")
     gone = both.select("dk", "s_dk", "lines", "s_lines", "seeds").mapInArrow(_extended, "dk long, gone array<int>")
     return gone.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
+def without(text: str, gone: list[int]) -> tuple[int, int, str]:
+    """Number of lines and of words that go with the units ``gone``, and what is left."""
+    at, _, size = read_lines(text)
+    drop, units = set(gone), {}
+    for g, k in enumerate(at):
+        units.setdefault(k, []).append(g)
+    left, n = [], 0
+    for k, line in enumerate(text.encode().split(b"\n")):
+        here = units.get(k, [])
+        if not drop.intersection(here):
+            left.append(line)
+        elif drop.issuperset(here):
+            n += 1
+        else:
+            starts = [m.start() for m in re.finditer(rb"[^\s]+", line)]
+            first = [0]  # a unit goes to where the next one's first word begins
+            for g in here:
+                first.append(first[-1] + size[g])
+            edge = [0, *(starts[w] for w in first[1:-1]), len(line)]
+            left.append(b"".join(line[edge[x] : edge[x + 1]] for x, g in enumerate(here) if g not in drop))
+    return n, sum(size[g] for g in drop), b"\n".join(left).decode()
+
+
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total, removed, words, texts = [], [], [], []
         for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
-            if text is None:
-                total.append(0), removed.append(0), words.append(0), texts.append(None)
-                continue
-            lines = text.split("\n")
-            total.append(len(lines))
-            removed.append(len(gone or ()))
-            if not gone:
-                words.append(0), texts.append(text)
-                continue
-            at, _, size = read_lines(text)
-            drop = {at[g] for g in gone}
-            words.append(sum(size[g] for g in gone))
-            texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+            n, m, left = without(text, gone) if gone else (0, 0, text)
+            total.append(0 if text is None else text.count("\n") + 1)
+            removed.append(n), words.append(m), texts.append(left)
         counts = [pa.array(c, pa.int64()) for c in (total, removed, words)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_removed_words", "text"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_removed_words and the text that is left, for each row."""
+    """doc_id, n_lines, n_removed (whole lines), n_removed_words (also of parts) and the text that is left, for each row."""
     gone = materialize(repeated_lines(docs, id_col, text_col, min_words), "line-deletions")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _dk(id_col, text_col).alias("dk"))
     rows = join_lookup(rows, gone, "dk", "left").select("doc_id", "text", "gone")
