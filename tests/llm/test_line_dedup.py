@@ -119,7 +119,7 @@ def test_passages_inside_lines(spark):
     for k, p in enumerate(planted):
         for d in range(3):
             inside[10 * k + d] = (fresh(rng.randrange(5, 40)), p, fresh(rng.randrange(5, 40)))
-            rows.append((10 * k + d, "  a  line\n" + " ".join(inside[10 * k + d]) + "\n\nlast line"))
+            rows.append((10 * k + d, f"  a{k}-{d}  line\n" + " ".join(inside[10 * k + d]) + f"\n\nlast {k}-{d} line"))
     got = {r["doc_id"]: r for r in ld.dedup_lines(documents(spark, rows)).collect()}
     for i, t in rows:
         before, p, after = inside[i]
@@ -128,7 +128,7 @@ def test_passages_inside_lines(spark):
             assert got[i]["text"] == t
             continue
         assert n - 4 * ld.CUT + 2 <= got[i]["n_removed_words"] <= n and got[i]["n_removed"] == 0
-        assert got[i]["text"].startswith("  a  line\n" + before) and got[i]["text"].endswith(after + "\n\nlast line")
+        assert got[i]["text"].startswith(t.split("\n")[0] + "\n" + before) and got[i]["text"].endswith(after + "\n\n" + t.split("\n")[-1])
         assert len(got[i]["text"].split()) == len(t.split()) - got[i]["n_removed_words"]
 
 
@@ -143,3 +143,25 @@ def test_units_are_bounded_and_follow_the_words():
             assert all(0 < b - a <= 2 * ld.CUT for a, b in zip(ends, ends[1:]))
             found.append({c - len(pre) for c in ends if ld.CUT <= c - len(pre) <= len(p) - ld.CUT})
         assert found[0] == found[1]
+
+
+def test_short_lines(spark):
+    """Lines of MIN_WORDS words go from the second on, shorter ones where FREQUENT documents have them."""
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    whole, often, rare = fresh(ld.MIN_WORDS), "All rights reserved", "see above"
+    n = ld.FREQUENT
+    rows = [(k, "\n".join([fresh(15), often, fresh(12), *([rare] if k < n - 1 else []), fresh(12), *([whole] if k < 2 else [])])) for k in range(n)]
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    assert [i for i, t in got.items() if often in t] == [0]
+    assert {i for i, t in got.items() if rare in t} == set(range(n - 1))
+    assert whole in got[0] and whole not in got[1]
+
+
+def test_runs_that_go_on_after_their_first_place(spark):
+    rng = random.Random(7)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    a, s = fresh(ld.MIN_WORDS), "a short line"
+    rows = [(1, a), *((k, f"{fresh(10)}\n{a}\n{s}\n{fresh(10)}") for k in (2, 3, 4))]
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows), both_ways=True).collect()}
+    assert s in got[2] and s not in got[3] and s not in got[4]

@@ -6,8 +6,9 @@ neighbouring places the one of least hash (the last of equals), sentence ends be
 Any other line is one unit; a unit's hash is that of its words. Equal passages are cut alike
 except within ``CUT`` places of their ends, wherever in a line they lie.
 
-For each unit a window runs from it to the first unit at which it holds ``min_words`` words. Of each
-window the unit of least hash (the last of equals) is selected: these minima are the fingerprints.
+For each unit a window runs from it to the first unit at which it holds ``min_words`` words and, with
+``both_ways`` (as the query has it), another one back from it; together these cover all of every
+repeated run, also of one that goes on where the first place of its beginning stops. Of each window the unit of least hash (the last of equals) is selected: these minima are the fingerprints.
 Two equal runs of whole units with ``min_words`` words hold equal windows, which select equal units,
 so every such repeat is guaranteed to share a fingerprint. A repeated passage of n words inside
 lines holds at least ``n - 4 * CUT + 2`` words of equal whole units.
@@ -18,13 +19,16 @@ and every later place a match. Matches are extended unit by unit both ways again
 document, and the units they cover are deleted, with the white space after them. A deleted unit
 always equals a unit that comes earlier, so one copy of everything stays.
 
+Whole lines of fewer than ``min_words`` words go by an exact count: those that ``frequent`` documents
+or more have go from all places but the first.
+
 No pairs are formed: each later place meets one source. Hot windows are looked up by broadcast if
 their sources are few (counted) and over salts otherwise.
 
 Defined results: null texts stay null and have no lines; lines without words are never deleted nor
 counted in runs; a line goes as a line if all its units do, else the rest of it stays as it was
 written; rows equal in id and text count as one document and get the same result; null ids come
-first; documents of fewer than ``min_words`` words have no windows and stay whole.
+first; documents of fewer than ``min_words`` words have no windows and lose frequent lines only.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ from pyspark.sql import functions as F
 
 from .common import join_lookup, materialize
 
-MIN_WORDS = 20
+MIN_WORDS = 9
+#: Documents from which on a shorter line goes.
+FREQUENT = 10
 #: Neighbouring places inside a line of which one is cut.
 CUT = 11
 ENDS = frozenset(b".!?")
@@ -93,16 +99,31 @@ def windows(code: list[int], size: list[int], min_words: int) -> list[tuple[int,
     return out
 
 
-def _lines(min_words: int):
+def windows_back(code: list[int], size: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """Those of the windows that run back from each unit which do not run forward as well."""
+    out, i, total = [], 0, 0
+    for j in range(len(code)):
+        total += size[j]
+        while total - size[i] >= min_words:
+            total -= size[i]
+            i += 1
+        if total >= min_words and total - size[j] >= min_words:  # forward, it would end earlier
+            part = code[i : j + 1]
+            out.append((i, j, j - part[::-1].index(min(part))))
+    return out
+
+
+def _lines(min_words: int, both_ways: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, wins = [], []
+            codes, wins, short = [], [], []
             for text in b.column("text").to_pylist():
-                _, code, size = read_lines(text)
+                at, code, size = read_lines(text)
                 codes.append(code)
-                wins.append([{"p": p, "j": j} for _, j, p in windows(code, size, min_words)])  # the k-th begins at unit k
-            win = pa.list_(pa.struct([("p", pa.int32()), ("j", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dk"), pa.array(codes, pa.list_(pa.int64())), pa.array(wins, win)], names=["doc_id", "dk", "lines", "wins"])
+                wins.append([{"p": p, "i": i, "j": j} for i, j, p in windows(code, size, min_words) + (windows_back(code, size, min_words) if both_ways else [])])
+                short.append([k for k, n in enumerate(size) if n < min_words and at[k - 1 : k] != [at[k]] and at[k + 1 : k + 2] != [at[k]]])  # whole lines
+            win = pa.list_(pa.struct([("p", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dk"), pa.array(codes, pa.list_(pa.int64())), pa.array(wins, win), pa.array(short, pa.list_(pa.int32()))], names=["doc_id", "dk", "lines", "wins", "short"])
 
     return run
 
@@ -134,15 +155,24 @@ def _dk(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))), F.col(text_col))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _frequent_lines(lines: DataFrame, frequent: int) -> DataFrame:
+    """dk, p: the short lines that go by their number of documents."""
+    short = lines.select("doc_id", "dk", "lines", F.explode("short").alias("p")).select("doc_id", "dk", "p", F.col("lines")[F.col("p")].alias("f"))
+    per = short.groupBy("f", "dk").agg(F.min(F.struct("doc_id", "dk", "p")).alias("a"))
+    first = per.groupBy("f").agg(F.count("*").alias("n"), F.min("a").alias("a")).where(F.col("n") >= frequent)
+    first = materialize(first.select("f", F.col("a.dk").alias("s_dk"), F.col("a.p").alias("s_p")), "line-frequent")
+    return join_lookup(short.select("dk", "p", "f"), first, "f").where((F.col("dk") != F.col("s_dk")) | (F.col("p") != F.col("s_p"))).select("dk", "p")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT, both_ways: bool = False) -> DataFrame:
     """dk, gone: the places, among a document's units, of those to delete."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _dk(id_col, text_col).alias("dk"), F.col(text_col).alias("text"))
-    lines = materialize(texts.mapInArrow(_lines(min_words), "doc_id long, dk long, lines array<long>, wins array<struct<p:int,j:int>>"), "line-hashes")
+    lines = materialize(texts.mapInArrow(_lines(min_words, both_ways), "doc_id long, dk long, lines array<long>, wins array<struct<p:int,i:int,j:int>>, short array<int>"), "line-hashes")
     # rows equal in id and text have equal places and count once
     picked = lines.select("dk", "lines", F.explode(F.array_distinct("wins.p")).alias("p")).select(F.col("lines")[F.col("p")].alias("f"), F.xxhash64("dk", "p").alias("place"))
     shared = picked.groupBy("f").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("f")
-    win = lines.select("doc_id", "dk", "lines", F.posexplode("wins").alias("i", "w"))
-    win = win.select("doc_id", "dk", "i", "w.j", F.col("lines")[F.col("w.p")].alias("f"), F.xxhash64(F.slice("lines", F.col("i") + 1, F.col("w.j") - F.col("i") + 1)).alias("key"))
+    win = lines.select("doc_id", "dk", "lines", F.explode("wins").alias("w"))
+    win = win.select("doc_id", "dk", "w.i", "w.j", F.col("lines")[F.col("w.p")].alias("f"), F.xxhash64(F.slice("lines", F.col("w.i") + 1, F.col("w.j") - F.col("w.i") + 1)).alias("key"))
     win = materialize(win.join(shared, "f", "left_semi").drop("f"), "line-windows")
     where = F.struct("doc_id", "dk", "i")
     source = win.groupBy("key").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b")
@@ -152,6 +182,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = lines.groupBy("dk").agg(F.first("lines").alias("lines"))
     both = seeds.join(whole, "dk").join(whole.select(F.col("dk").alias("s_dk"), F.col("lines").alias("s_lines")), "s_dk")
     gone = both.select("dk", "s_dk", "lines", "s_lines", "seeds").mapInArrow(_extended, "dk long, gone array<int>")
+    gone = gone.unionByName(_frequent_lines(lines, frequent).groupBy("dk").agg(F.collect_set("p").alias("gone")))
     return gone.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
@@ -189,9 +220,9 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_removed_words", "text"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT, both_ways: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed (whole lines), n_removed_words (also of parts) and the text that is left, for each row."""
-    gone = materialize(repeated_lines(docs, id_col, text_col, min_words), "line-deletions")
+    gone = materialize(repeated_lines(docs, id_col, text_col, min_words, frequent, both_ways), "line-deletions")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _dk(id_col, text_col).alias("dk"))
     rows = join_lookup(rows, gone, "dk", "left").select("doc_id", "text", "gone")
     return rows.mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, n_removed_words long, text string")

@@ -68,7 +68,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), both_ways=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_token_store, op4_toxicity, op5_decontamination, op6_quality_rules, op7_source_mix, op8_simhash, op9_language_id, op10_line_dedup)}
