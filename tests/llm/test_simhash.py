@@ -106,3 +106,22 @@ def test_rows_without_ids(spark):
     t, u = prose(random.Random(8), 60), prose(random.Random(9), 60)
     docs = documents(spark, [(None, t), (4, t), (None, u), (None, u)])
     assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([("4", t), ("None", min([t, u], key=lambda x: {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}[x]))])
+
+
+def test_unlike_texts_with_one_id(spark):
+    """Every component leaves a row, whatever ids its rows repeat or lack."""
+    a, b, c, d = (prose(random.Random(k), 60) for k in (21, 22, 23, 24))
+    docs = documents(spark, [(5, a), (5, b), (7, b), (None, c), (None, d), (None, d), (None, b)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each_component(docs).collect()) == sorted([("5", a), ("5", b), ("None", c), ("None", d)])
+    clash = with_clashes(docs)
+    kept = simhash.one_of_each_component(clash)
+    assert kept.columns == clash.columns and kept.count() == 4
+    assert simhash.one_of_each_component(docs.where(F.lit(False))).count() == 0
+
+
+def test_pipeline_stage_keeps_every_component(spark):
+    import corpus_pipeline
+
+    a, b = (prose(random.Random(k), 60) for k in (21, 22))
+    docs = documents(spark, [(5, a), (5, b), (7, b)])
+    assert {r["text"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {a, b}

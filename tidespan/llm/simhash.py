@@ -68,14 +68,14 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, h (hash of the text) and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 # --- the index below a top node -----------------------------------------------------------------
@@ -242,14 +242,19 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
         before = state
 
 
+def _roots_of(prints: DataFrame) -> DataFrame:
+    """f, root, low: each fingerprint's component and the smallest id that has the fingerprint."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    root = components(links(nodes.select("fp")))
+    return nodes.join(root, nodes["fp"] == root["a"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "low")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) of every row."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    root = components(links(nodes.select("fp")))
-    member = nodes.join(root, nodes["fp"] == root["a"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    member = _roots_of(prints)
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = member.join(low, "root").select(F.col("fp").alias("f"), "component_id")
+    member = member.join(low, "root").select("f", "component_id")
     hex_print = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(member, prints["fp"] == member["f"], "left").select("doc_id", hex_print, "component_id")
 
@@ -270,3 +275,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         loose = rows.where("__id IS NULL").agg(least).where("__row IS NOT NULL").select("__row.*")
         kept = kept.unionByName(loose)
     return kept
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with its columns: the one of smallest id (null last), then smallest hash of the row's text.
+
+    Components are told apart by their root fingerprint, so rows that repeat an id or have none
+    count like all others; equal rows leave one.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+    key = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__h")]
+    least = prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("k"))
+    member = _roots_of(prints).select("f", "root")
+    keep = least.join(member, least["fp"] == member["f"]).groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    keep = materialize(keep, "simhash-kept")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    i = F.col(id_col).cast("long")
+    rows = docs.select(whole, i.isNull().alias("__none"), F.coalesce(i, F.lit(0)).alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"))
+    # one shuffle of whole rows: the aggregation and the join share their partitioning
+    names = ["__none", "__id", "__h"]
+    return rows.groupBy(*names).agg(F.first("__row").alias("__row")).join(keep, names, "left_semi").select("__row.*")
