@@ -60,3 +60,17 @@ def test_stream_equals_batch(spark, stream):
 def test_alerts(spark):
     got = ingest.alerts(spark.createDataFrame([("h", 95.0, 1.0), ("i", 90.0, 9.0)], "host string, cpu_pct double, load_1m double"))
     assert sorted((r["host"], r["metric"]) for r in got.collect()) == [("h", "cpu_pct"), ("i", "load_1m")]
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_last_values"])
+def test_registered_streams_are_read_when_they_have_ended(spark, monkeypatch, name):
+    """A wait that runs out must not be taken for the end of the stream."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    from tidespan.plans import catalog
+
+    real, ended = StreamingQuery.awaitTermination, []
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: False if timeout else (real(q), ended.append(not q.isActive))[0])
+    points = spark.createDataFrame([(T0, "ab"[k % 2], float(k), k) for k in range(9)], "timestamp timestamp_ntz, tag_event_type string, value double, event_id long")
+    monkeypatch.setattr(catalog, "events", lambda *_: points)
+    assert catalog.QUERIES[name](spark, "").count() == 2 and ended == [True]

@@ -487,7 +487,7 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query("SELECT event_type AS tag_event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_ingest(spark, sf_dir):
     out = new_path(spark, "stream-out")
-    ingest(_stream(spark, sf_dir)[1], out, new_path(spark, "stream-log")).awaitTermination(300)
+    ingest(_stream(spark, sf_dir)[1], out, new_path(spark, "stream-log")).awaitTermination()
     return spark.read.parquet(out).groupBy("tag_event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -496,7 +496,7 @@ def stream_last_values(spark, sf_dir):
     out, log = new_path(spark, "last"), new_path(spark, "last-log")
     state = last_values(_stream(spark, sf_dir)[1], ["tag_event_type"], ["timestamp", "event_id"])
     write_all = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    state.writeStream.outputMode("complete").foreachBatch(write_all).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination(300)
+    state.writeStream.outputMode("complete").foreachBatch(write_all).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("tag_event_type", "last.timestamp", "last.value")
 
 
