@@ -47,3 +47,10 @@ def test_empty_tables_and_native_plan(spark):
     assert decontaminate.contaminated(docs.where(F.lit(False)), bench).count() == 0
     found = decontaminate.contaminated(docs, bench.where(F.lit(False)))
     assert found.count() == 0 and "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_in_any_case_are_dropped(spark):
+    rng = random.Random(9)
+    around = lambda t: f"{prose(rng, 20)} {t} {prose(rng, 20)}"
+    docs = documents(spark, [(20, around(QUESTION.lower())), (21, around(QUESTION.upper())), (22, around(" ".join(QUESTION.lower().split()[:12]))), (23, prose(rng, 200))])
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items(spark)).collect()) == [22, 23]

@@ -9,6 +9,10 @@ count; a document is contaminated by an item if they cover 80 % of the item's wi
 question and one with other numbers or names are both found, a document that only shares the
 shape of a sentence here and there is not.
 
+With ``any_case``, as ``drop_contaminated`` has it, each window has a second hash, of its words in
+small letters without punctuation, and a position counts as covered if either hash aligns: copies
+in all small or all capital letters have no names that templates could show.
+
 Defined results: null and blank texts and items of fewer than five template words match nothing;
 rows equal in id and text are one document; repeated items of the same id are one item with
 pooled windows; null ids match like values; input columns other than id and text are not read.
@@ -59,6 +63,23 @@ def _windows(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= WINDOW, at(w)).otherwise(F.array().cast("array<bigint>")))
 
 
+def _any_case_windows(spaced: Column) -> Column:
+    """(p, g): position and hash of each window, of its template words and of its plain words."""
+    plain = F.split(F.lower(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]+", "")), " ")
+    pair = F.filter(F.arrays_zip(_template(spaced).alias("t"), plain.alias("w")), lambda x: x["t"] != "")
+    entry = lambda i, *words: F.struct(i.alias("p"), F.xxhash64(*words).alias("g"))
+    both = lambda x, i: F.array(entry(i, *[x[i + k]["t"] for k in range(WINDOW)]), entry(i, F.lit("plain"), *[x[i + k]["w"] for k in range(WINDOW)]))
+    at = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x) - WINDOW), lambda i: both(x, i)))
+    return let(pair, lambda x: F.when(F.size(x) >= WINDOW, at(x)))
+
+
+def _grams(df: DataFrame, keys: list[str], at: str, any_case: bool) -> DataFrame:
+    """The keys with position and hash of every window."""
+    if any_case:
+        return df.select(*keys, F.explode(_any_case_windows(F.col("s"))).alias("x")).select(*keys, F.col("x.p").alias(at), F.col("x.g").alias("g"))
+    return df.select(*keys, F.posexplode(_windows(F.array_remove(_template(F.col("s")), ""))).alias(at, "g"))
+
+
 def _words(spaced: Column) -> Column:
     """(position, template word, word) of every template word that is not ''."""
     pair = F.filter(F.arrays_zip(_template(spaced).alias("t"), F.split(spaced, " ").alias("w")), lambda x: x["t"] != "")
@@ -70,17 +91,16 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(name), F.xxhash64(F.col(text_col)).alias("h"), _spaced(F.col(text_col)).alias("s"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", any_case: bool = False) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows (of the item), n_matched: one row for each contaminated document and item."""
     items = _keyed(benchmark, item_col, item_text_col, "item_id")
-    grams = items.select("item_id", F.posexplode(_windows(F.array_remove(_template(F.col("s")), ""))).alias("ip", "g"))
-    grams = materialize(grams.distinct(), "bench-windows")
+    grams = materialize(_grams(items, ["item_id"], "ip", any_case).distinct(), "bench-windows")
     sizes = grams.groupBy("item_id").agg(F.countDistinct("ip").alias("n_windows"))
     keys = grams.select("g").distinct()
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     texts = _keyed(docs, id_col, text_col, "doc_id")
-    found = texts.select("doc_id", "h", F.posexplode(_windows(F.array_remove(_template(F.col("s")), ""))).alias("dp", "g")).join(keys, "g", "left_semi")
+    found = _grams(texts, ["doc_id", "h"], "dp", any_case).join(keys, "g", "left_semi")
     # few windows of the corpus are the benchmark's; they are stored, then counted for each pair
     found = materialize(found, "bench-hits")
     match = found.join(grams, "g").select("doc_id", "h", "item_id", "ip", "dp").distinct()
@@ -110,7 +130,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that no benchmark item contaminates."""
-    bad = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_h")).distinct()
+    bad = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, any_case=True).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_h")).distinct()
     bad = materialize(bad, "bench-bad")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
