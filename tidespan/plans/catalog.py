@@ -456,19 +456,29 @@ def file_statistics(spark, sf_dir):
     return f.agg(F.sum("row_count").alias("n_rows"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.min("tag_event_type_min").alias("low"), F.max("tag_event_type_max").alias("high"), F.sum("tag_event_type_nulls").alias("nulls"))
 
 
+def _restored(spark, sf_dir) -> DataFrame:
+    """All events, archived and read back."""
+    path = new_path(spark, "archive")
+    every = events(spark, sf_dir)
+    files.write_json_lines(every, path)
+    return spark.read.schema(every.schema).json(path)
+
+
 @query("SELECT event_id, value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
 def archive_restore(spark, sf_dir):
-    path = new_path(spark, "archive")
-    day = events(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'")
-    files.write_json_lines(day, path)
-    return spark.read.schema(day.schema).json(path).select("event_id", "value")
+    return _restored(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'").select("event_id", "value")
+
+
+def _from_csv(spark, sf_dir) -> DataFrame:
+    """All events, exported as CSV points and read back."""
+    path = new_path(spark, "csv")
+    files.write_csv(events(spark, sf_dir).withColumn("measurement", F.lit("events")).withColumn("timestamp", ts.micros(F.col("timestamp"))), path)
+    return files.read_csv_points(spark, path)
 
 
 @query("SELECT event_id, event_type AS tag_event_type, value FROM events WHERE event_id < 200")
 def csv_round_trip(spark, sf_dir):
-    path = new_path(spark, "csv")
-    files.write_csv(events(spark, sf_dir).where("event_id < 200").withColumn("measurement", F.lit("events")).withColumn("timestamp", ts.micros(F.col("timestamp"))), path)
-    return files.read_csv_points(spark, path).select("event_id", "tag_event_type", "value")
+    return _from_csv(spark, sf_dir).where("event_id < 200").select("event_id", "tag_event_type", "value")
 
 
 @query("SELECT 'host_' || lpad(CAST(i % 10 AS VARCHAR), 4, '0') AS tag_host, count(*) AS n, CAST(sum(10 * i) AS BIGINT) AS total FROM range(1000) t(i) GROUP BY 1")
