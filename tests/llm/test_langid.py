@@ -55,3 +55,27 @@ def test_nothing_learned(spark):
     training = langid.learn(docs)
     assert training == () and {r["lang_pred"] for r in langid.identify(docs, training).collect()} == {"und"}
     assert langid.identify(docs.where(F.lit(False)), training).count() == 0
+
+
+def test_large_alphabets(monkeypatch):
+    """Scripts of many letters are told apart by them, with a table and by edges."""
+    rng = random.Random(3)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 400)] + [chr(0x20000 + k) for k in range(100)]
+    write = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    common = [chr(0x430 + k) for k in range(32)] + [chr(97 + k) for k in range(26)]
+    training = (("a", tuple(write(common, 190) for _ in range(40))), ("b", tuple(write(han[::2], 190) for _ in range(9))), ("c", tuple(write(han[1::2], 190) for _ in range(9))))
+    texts = [training[1 + k % 2][1][k % 9][10:110][::-1] + training[1 + k % 2][1][k % 7][20:90] for k in range(20)] + [write(common, 300), "", "x y"]
+    counts = langid.phrase_counts(texts, training)
+    assert (counts[0:20:2, 1] < counts[0:20:2, 2]).all() and (counts[1:20:2, 2] < counts[1:20:2, 1]).all()
+    langid._tables.cache_clear()
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.phrase_counts(texts, training) == counts).all()
+    langid._tables.cache_clear()
+
+
+def test_languages_are_learned_past_empty_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, (None, "123 !", "")[k % 3], "de", "s") for k in range(600)] + [(1000 + k, prose(rng, 30, OTHER), "de", "s") for k in range(3)]
+    rows.append((2000, "1 " * 3000 + "straße", "fr", "s"))
+    got = dict(langid.learn(documents(spark, rows), train_docs=3))
+    assert len(got["de"]) == 3 and all(map(langid.has_letter, got["de"])) and "straße" in got["fr"][0]

@@ -6,10 +6,11 @@ language that needs the fewest phrases for the text's symbols wins.
 
 Texts become symbols (small letters; anything else is one space) and are parsed in pieces of
 ``PIECE`` symbols, each from a new phrase, all pieces of a batch side by side: one step of all of
-them is a look-up in the automaton's table. So a text costs the same per symbol at any length.
+them is a look-up in the automaton's table, or, for large alphabets, among its sorted edges. So a text costs the same per symbol at any length.
 
 The automata hold at most ``TRAIN_DOCS`` slices of ``SLICE`` characters per language, from the
-documents that come first by a hash of the id; every text is parsed whole.
+documents with a letter that come first by a hash of the id; every text is parsed whole. All
+letters of the slices are in the alphabet.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text
 if no language was learned; equal counts go to the language first by code point; rows equal in id
@@ -28,20 +29,20 @@ from pyspark.sql import functions as F
 
 TRAIN_DOCS, SLICE = 256, 192
 PIECE = 128
-#: Letters in the alphabet, the most frequent of the labelled text.
-LETTERS = 60
+#: Entries of an automaton's table; a larger one is searched among its edges instead.
+DENSE = 1 << 24
 #: Symbols that are parsed at once.
 CHUNK = 4_000_000
 UNKNOWN = "und"
 
-# symbols: 0 space, 1 any letter outside the alphabet, then the alphabet; PAD ends a piece
+# symbols: 0 space, 1 any letter that no slice has, then the alphabet; PAD ends a piece
 SPACE, RARE, FIRST = 0, 1, 2
 
 
 @lru_cache(maxsize=1)
 def _plain() -> np.ndarray:
-    """For each code point of the basic plane: 1 if it is a letter."""
-    return np.array([chr(c).isalpha() for c in range(65536)], np.uint8)
+    """For each code point: 1 if it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)], np.uint8)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -53,24 +54,19 @@ def has_letter(text: str | None) -> bool:
 
 
 def alphabet(texts: list[str]) -> str:
-    counts: dict[str, int] = {}
-    for t in texts:
-        for c in t.lower():
-            if c.isalpha() and ord(c) < 65536:
-                counts[c] = counts.get(c, 0) + 1
-    return "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]))
+    return "".join(sorted({c for t in texts for c in t.lower() if c.isalpha()}))
 
 
 def lookup(letters: str) -> np.ndarray:
-    table = np.where(_plain() == 1, RARE, SPACE).astype(np.uint8)
+    table = np.where(_plain() == 1, RARE, SPACE).astype(np.int32)
     for k, c in enumerate(letters):
         table[ord(c)] = FIRST + k
-    return np.append(table, np.uint8(RARE))  # beyond the basic plane
+    return table
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """The text's symbols, with one space for each run of other characters."""
-    s = table[np.minimum(_codes(text), 65536)]
+    s = table[_codes(text)]
     keep = s != SPACE
     keep[1:] |= s[:-1] != SPACE
     return s[keep]
@@ -125,10 +121,27 @@ class SuffixAutomaton:
         out[0, width - 1] = 0
         return out.astype(np.int32).ravel()
 
+    def stepper(self, width: int):
+        """What ``steps`` holds, as a function of (state * width, symbol); without a table if that is over DENSE."""
+        if len(self.next) * width <= DENSE:
+            flat = self.steps(width)
+            return lambda state, symbol: flat[state + symbol]
+        edges = sorted((s * width + c, 4 * t * width) for s, e in enumerate(self.next) for c, t in e.items() if c < width)
+        key, to = np.array(edges, np.int64).reshape(-1, 2).T.copy()
+        root = self.next[0]
+        fresh = np.array([4 * root[c] * width if c in root else 1 for c in range(width - 1)] + [0], np.int64)
+
+        def step(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+            k = state.astype(np.int64) + symbol
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            return np.where(key[at] == k, to[at], fresh[symbol] + (state > 0))
+
+        return step
+
 
 @lru_cache(maxsize=2)
 def _tables(training: tuple[tuple[str, tuple[str, ...]], ...]):
-    """(letters' table, PAD, tables by language) for (language, slices); once for each worker."""
+    """(letters' table, PAD, steps by language) for (language, slices); once for each worker."""
     letters = alphabet([t for _, ts in training for t in ts])
     table, width = lookup(letters), FIRST + len(letters) + 1
     out = []
@@ -136,7 +149,7 @@ def _tables(training: tuple[tuple[str, tuple[str, ...]], ...]):
         sequence: list[int] = []
         for t in slices:
             sequence += symbols(t, table).tolist() + [width]  # a symbol no text has
-        out.append(SuffixAutomaton(sequence).steps(width))
+        out.append(SuffixAutomaton(sequence).stepper(width))
     return table, width - 1, out
 
 
@@ -148,19 +161,19 @@ def phrase_counts(texts: list[str], training) -> np.ndarray:
     for k, t in enumerate(texts):
         s = symbols(t, table)
         n = -(-len(s) // PIECE)
-        grid = np.full(n * PIECE + 0, pad, np.uint8)
+        grid = np.full(n * PIECE, pad, np.int32)
         grid[: len(s)] = s
         pieces.append(grid)
         rows.append(np.full(n, k))
-    grid = np.concatenate(pieces).reshape(-1, PIECE) if pieces else np.zeros((0, PIECE), np.uint8)
+    grid = np.concatenate(pieces).reshape(-1, PIECE) if pieces else np.zeros((0, PIECE), np.int32)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     if not len(grid):
         return out
-    columns = np.ascontiguousarray(grid.T).astype(np.int32)
+    columns = np.ascontiguousarray(grid.T)
     for j, step in enumerate(steps):
-        state, count = np.zeros(len(grid), np.int32), np.zeros(len(grid), np.int32)
+        state, count = np.zeros(len(grid), np.int32), np.zeros(len(grid), np.int64)
         for column in columns:
-            v = step[state + column]
+            v = step(state, column)
             count += v & 3
             state = v >> 2
         count += state > 0
@@ -178,13 +191,16 @@ def decide(counts: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndar
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> tuple:
     """((language, slices), ...) by code point, from the rows of ``docs`` whose language is given."""
     code = F.xxhash64(F.col("id"), F.lit(5))
+    docs = docs.where(F.col(text_col).rlike(r"\p{L}"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     first = rows.select("id", "lang", code.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= train_docs)
     first = first.select("id", F.col("lang").alias("l"), "h").distinct()  # train_docs rows a language
     text = F.col(text_col)
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(6)), F.greatest(F.length(text) - SLICE, F.lit(1)))
-    part = docs.join(F.broadcast(first), (F.col(id_col).cast("long") == F.col("id")) & (F.col(lang_col) == F.col("l"))).where(text.isNotNull())
-    got = part.select("l", "h", text.substr((at + 1).cast("int"), F.lit(SLICE)).alias("t")).collect()
+    part = docs.join(F.broadcast(first), (F.col(id_col).cast("long") == F.col("id")) & (F.col(lang_col) == F.col("l")))
+    cut = text.substr((at + 1).cast("int"), F.lit(SLICE))
+    cut = F.when(cut.rlike(r"\p{L}"), cut).otherwise(F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{SLICE - 1}}}", 0))
+    got = part.select("l", "h", cut.alias("t")).collect()
     by: dict[str, list] = {}
     for r in got:
         by.setdefault(r["l"], []).append((r["h"], r["t"]))
