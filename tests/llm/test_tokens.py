@@ -13,7 +13,10 @@ from tidespan.llm import token_count, token_store, tokens
 from .helpers import EDGES, documents, prose, with_clashes
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
-HARD = ["", " ", "\n", "  a  b ", "x<|endoftext|> y <|startoftext|>z", "é́ ́a ß İ ΟΔΟΣ", "a\x1cb c\x85 d", "don't I'll  we've", "日本語 テスト a  b 𝔘𝔫", "ﬁ ½ ²", "a​ b", "x1y2 3.", "\t\ttab  ", "a" * 500, "word. word, word.\nword!! 'word' \"word\"", "a.\n\nb \n c", "...", ". a", "a .", "3. 4,"]
+HARD = ["", " ", "\n", "  a  b ", "x<|endoftext|> y <|startoftext|>z", "é́ ́a ß İ ΟΔΟΣ", "a\x1cb c\x85 d", "don't I'll  we've", "日本語 テスト a  b 𝔘𝔫", "ﬁ ½ ²", "a​ b", "x1y2 3.", "\t\ttab  ", "a" * 500, "word. word, word.\nword!! 'word' \"word\"", "a.\n\nb \n c", "...", ". a", "a .", "3. 4,", "* İ*", "ABİ. DENİZİ, evet", "q̣̇. ḍ̇ i̇!", "²., ⅷ; ٣: 〇?"]
+
+#: Characters and strings that normalizers, pre-tokenizers and added tokens treat in their own ways.
+ANY = st.sampled_from([*"ab .,\n\t'1é<|>日ΣßİıŞ²½*", "\u0301", "\u0307", "\u0323", "\u00a0", "\u0085", "\x1c", "\u3000", "\u200b", "\u1100", "\u1161", "\u11a8", "<|endoftext|>", "<|startoftext|>", "'s", "n't", "  ", "word", "unbelievable"])
 
 
 def path(name):
@@ -39,21 +42,28 @@ def test_units_give_what_the_library_gives(name, monkeypatch):
 
 @pytest.mark.parametrize("name", FILES)
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab .,\n\t'1é́<|>　日Σ"), max_size=30), max_size=4))
+@given(st.lists(st.lists(ANY, max_size=30).map("".join), max_size=4))
 def test_units_on_any_text(name, texts):
     assert plain(tokens.encoder(path(name)).encode_batch(texts)) == library(name, texts)
 
 
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ANY, max_size=160).map("".join), st.integers(5, 60), st.integers(1, 20))
+def test_spliced_chunks_on_any_text(name, text, chunk, overlap):
+    assert token_count.count_long(text, tokens.load(path(name)), chunk, overlap) == len(library(name, [text])[0])
+
+
 @pytest.mark.parametrize("name", FILES)
 @pytest.mark.parametrize(("chunk", "overlap"), [(40, 4), (64, 16), (500, 30)])
 def test_spliced_chunks_count_like_the_whole(name, chunk, overlap):
-    rng, enc = random.Random(2), tokens.UnitEncoder(path(name))
+    rng, tok = random.Random(2), tokens.load(path(name))
     texts = [prose(rng, 300), "x" * 700, "word " * 200, "a\n" * 150 + "b" * 300 + " c" * 90, "  ".join("ab" for _ in range(200)), "ab<|endoftext|>cd " * 40, "".join(rng.choice("ab .\n\t é日") for _ in range(900))]
-    assert [token_count.count_long(t, enc, chunk, overlap) for t in texts] == [len(i) for i in library(name, texts)]
+    assert [token_count.count_long(t, tok, chunk, overlap) for t in texts] == [len(i) for i in library(name, texts)]
 
 
 def test_no_boundary_widens_the_overlap(monkeypatch):
-    enc, made = tokens.UnitEncoder(path(FILES[1])), []
+    tok, made = tokens.load(path(FILES[1])), []
     real = token_count.Chunk
 
     def chunk(e, text, start, end):
@@ -62,10 +72,38 @@ def test_no_boundary_widens_the_overlap(monkeypatch):
 
     monkeypatch.setattr(token_count, "Chunk", chunk)
     text = "w " * 30 + "x" * 300 + " w" * 30
-    assert token_count.count_long(text, enc, 100, 10) == len(library(FILES[1], [text])[0])
+    assert token_count.count_long(text, tok, 100, 10) == len(library(FILES[1], [text])[0])
     assert len({start for start, end in made if end == made[1][1]}) > 1
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_boundaries_that_only_look_common_are_rejected(name):
+    """Tokens inside one long word agree in offsets and ids for a while, and still prove nothing."""
+    tok, text = tokens.load(path(name)), "unbelievableinternationalization" * 12
+    left, right = token_count.Chunk(tok, text, 0, 300), token_count.Chunk(tok, text, 199, 384)
+    same = set(zip(left.at, left.ids)) & set(zip(right.at, right.ids))
+    assert len(same) > token_count.STABLE
+    assert token_count.splice(left, right) is None
+    # a real boundary near by is found, and it is not the first place that looks like one
+    text = text + " one two three four" + text
+    left, right = token_count.Chunk(tok, text, 0, 420), token_count.Chunk(tok, text, 199, 500)
+    i, j = token_count.splice(left, right, margin=token_count._margin(tok))
+    assert left.at[i] == right.at[j] and text[left.at[i][0] : left.at[i][1]].strip() == "one"
+
+
+def test_runs_without_a_boundary_are_encoded_a_few_times(monkeypatch):
+    tok, size = tokens.load(path(FILES[0])), []
+    real = token_count.Chunk
+    monkeypatch.setattr(token_count, "Chunk", lambda t, text, a, b: size.append(b - a) or real(t, text, a, b))
+    text = "ab" * 20_000 + " end"
+    assert token_count.count_long(text, tok, 500, 20) == len(library(FILES[0], [text])[0])
+    assert sum(size) < 12 * len(text)
+
+
+def test_units_are_used_only_where_the_definition_allows():
+    assert not tokens.independent_units(tokens.load(path(FILES[0]))) and tokens.independent_units(tokens.load(path(FILES[1])))
+
+
 def test_counts(spark, monkeypatch):
     rows = [*EDGES, (20, prose(random.Random(3), 9000)), (21, "<|endoftext|>")]
     got = token_count.count_tokens(with_clashes(documents(spark, rows)), path(FILES[0])).collect()
@@ -91,6 +129,13 @@ def test_store_round_trip(spark, monkeypatch, tmp_path):
     assert not any(want.values())
     some = token_store.read_documents(manifest, spark.createDataFrame([(105,), (30,), (7777,)], "doc_id long"))
     assert sorted(r["doc_id"] for r in some.collect()) == [30, 105]
+    # null and repeated wanted ids; an id of several documents
+    some = token_store.read_documents(manifest, spark.createDataFrame([(None,), (6,), (6,), (159,)], "doc_id long")).collect()
+    assert sorted(r["doc_id"] for r in some) == [6, 6, 159]
+    assert {tuple(r["ids"]) for r in some} <= {(*x, 0) for x in library(FILES[1], [t or "" for _, t in rows])}
+    every = token_store.read_documents(manifest, docs.select("doc_id"))
+    assert every.count() == len(rows) - 1  # all but the one without an id
+    assert token_store.read_documents(manifest, docs.select("doc_id").where("false")).count() == 0
     empty = token_store.write_tokens(docs.where(F.lit(False)), path(FILES[1]))
     assert empty.count() == 0 and token_store.read_tokens(empty).count() == 0
 

@@ -19,18 +19,30 @@ SALTS = 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's folder where all executors can read: below ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder does on a local master; on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="tidespan-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidespan"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tidespan/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession

@@ -1,12 +1,19 @@
 """Token counts with overlap resynchronisation.
 
 A text of at most ``CHUNK`` characters is one chunk. A longer one is encoded in chunks that
-overlap; each chunk gives the offsets of its units and their ids. Two neighbours are spliced at a
-common boundary inside the overlap: a unit start of both chunks, not at the right chunk's own
-artificial start, from which at least ``STABLE`` units that end before the left chunk's artificial
-end have the same offsets and ids in both. Units are encoded independently of what stands before
-them, so the encodings agree from there on. Where an overlap has no such boundary (long runs
-without white space) it is doubled until it has one or takes in the whole left chunk.
+overlap, each by a call of the library of its own, with offsets. Two neighbours are spliced where
+their two encodings prove a boundary: a token that begins a piece in both (the tokenizer reports
+the piece of each token), at the same offset and with the same id, followed by at least ``STABLE``
+whole pieces that are equal in offsets, ids and piece starts. A token boundary inside a piece
+proves nothing, since merges depend on the whole piece; such places are rejected however long the
+tokens after them agree. Tokenizers cut pieces from left to right without memory, so from a piece
+start that both share the right chunk goes on as the whole text would. Pieces at an artificial edge
+may differ from the whole text's: the right chunk's first piece, the left chunk's last one, and
+what lies within an added token's length of an edge never count as proof.
+
+Where an overlap has no proven boundary (long runs without a break) it is widened fourfold, until it has
+one or takes in all that is not counted yet; the chunk then grows as well, so that a run of n
+characters is encoded a few times only, about as often as it has digits.
 
 Memory is bounded by a chunk's encoding, or by the longest run without a boundary.
 
@@ -19,80 +26,96 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import UnitEncoder, encoder, units
+from .tokens import load
 
-CHUNK = 32_768
+CHUNK = 16_384
 OVERLAP = 512
 STABLE = 2
-BATCH = 256
+BATCH = 64
 
 
 class Chunk:
-    """The units of text[start:end]: offsets (and the end) in the whole text, and ids."""
+    """The encoding of text[start:end]: id, offsets in the whole text, and whether a piece begins, by token."""
 
-    def __init__(self, enc: UnitEncoder, text: str, start: int, end: int):
-        part = text[start:end]
-        u = units(part)
-        size = np.fromiter((len(x) + (k > 0 and x[0] != "\n") for k, x in enumerate(u)), np.int64, len(u))
-        self.start, self.end = start, end
-        self.at = start + np.concatenate(([0], np.cumsum(size)))
-        self.ids = enc.encode_units(u)
+    def __init__(self, tok, text: str, start: int, end: int):
+        e = tok.encode(text[start:end], add_special_tokens=False)
+        self.start, self.end, self.ids = start, end, e.ids
+        self.at = [(start + a, start + b) for a, b in e.offsets]
+        words = e.word_ids
+        self.begins = [k == 0 or w != words[k - 1] for k, w in enumerate(words)]
 
-    def tokens(self, first: int, last: int | None = None) -> int:
-        return sum(map(len, self.ids[first:last])) // 4
+    def opens(self, k: int) -> bool:
+        """Whether a piece and its character begin with token k; one character may give several pieces."""
+        return self.begins[k] and (k == 0 or self.at[k - 1][1] <= self.at[k][0])
 
 
-def splice(left: Chunk, right: Chunk, stable: int = STABLE) -> tuple[int, int] | None:
-    """Units (of left, of right) that begin at the first proven common boundary."""
-    place = {int(p): k for k, p in enumerate(left.at[:-1]) if p > right.start}
+def _margin(tok) -> int:
+    """Characters at an artificial edge that a cut added token may spoil."""
+    return max([len(t.content) for t in tok.get_added_tokens_decoder().values()], default=0)
+
+
+def splice(left: Chunk, right: Chunk, stable: int = STABLE, margin: int = 0) -> tuple[int, int] | None:
+    """Tokens (of left, of right) that begin at the first proven common boundary."""
+    low, high = right.start + margin, left.end - margin
+    last = max((k for k, b in enumerate(left.begins) if b), default=0)  # the left chunk's last piece may be cut
+    place = {left.at[k][0]: k for k in range(len(left.ids)) if left.at[k][0] > low and left.opens(k)}
     for j in range(1, len(right.ids)):
-        i = place.get(int(right.at[j]))
-        # the last unit of the left chunk may have been cut by the chunk's end
-        if i and all(i + k < len(left.ids) - 1 and j + k < len(right.ids) and left.at[i + k + 1] == right.at[j + k + 1] and left.ids[i + k] == right.ids[j + k] for k in range(stable)):
+        if right.at[j][0] >= high:
+            return None
+        if right.at[j][0] <= low or not right.opens(j) or (i := place.get(right.at[j][0])) is None:
+            continue
+        pieces, k = 0, 0
+        while pieces <= stable and i + k < last and j + k < len(right.ids) and left.at[i + k][1] <= high:
+            if left.ids[i + k] != right.ids[j + k] or left.at[i + k] != right.at[j + k] or left.begins[i + k] != right.begins[j + k]:
+                break
+            pieces += left.begins[i + k]
+            k += 1
+        # the last piece that was begun counts only if it ends here, where both begin another
+        ends = i + k == last and left.at[last][0] <= high and j + k < len(right.ids) and right.begins[j + k] and left.at[last][0] == right.at[j + k][0]
+        if pieces > stable or (pieces == stable and ends):
             return i, j
     return None
 
 
-def count_long(text: str, enc: UnitEncoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_long(text: str, tok, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text, chunk by chunk."""
-    left, first, total = Chunk(enc, text, 0, min(chunk, len(text))), 0, 0
+    margin = _margin(tok)
+    left, first, total = Chunk(tok, text, 0, min(chunk, len(text))), 0, 0
     while left.end < len(text):
-        width, end = overlap, min(len(text), left.end + chunk)
-        proven = int(left.at[first])
+        proven = left.at[first][0] if first else left.start
+        # a run without a boundary makes the next chunk as long as itself, so that the work stays linear
+        width, end = overlap, min(len(text), left.end + max(chunk, left.end - proven))
         while True:
-            right = Chunk(enc, text, max(proven, left.end - width), end)
-            at = splice(left, right)
+            start = max(proven, left.end - width)
+            right = Chunk(tok, text, start, end)
+            if start == proven:  # it begins where the counted part ends and takes in all the rest
+                first = 0
+                break
+            at = splice(left, right, margin=margin)
             if at and at[0] >= first:
-                total += left.tokens(first, at[0])
+                total += at[0] - first
                 first = at[1]
                 break
-            if right.start == proven:  # it takes in all that is not counted yet
-                first = 0
-                break
-            width *= 2
+            width *= 4
         left = right
-    return total + left.tokens(first)
+    return total + len(left.ids) - first
 
 
 def _counts(tokenizer: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = load(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                texts, enc = [t or "" for t in part.column(1).to_pylist()], encoder(tokenizer)
-                n = np.zeros(len(texts), np.int64)
-                short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
-                n[short] = [len(x) // 4 for x in enc.encode_batch([texts[i] for i in short])]
-                for i, t in enumerate(texts):
-                    if len(t) > CHUNK:
-                        n[i] = count_long(t, enc)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                short = iter(tok.encode_batch_fast([t for t in texts if len(t) <= CHUNK], add_special_tokens=False))
+                n = [len(next(short)) if len(t) <= CHUNK else count_long(t, tok) for t in texts]
                 size = pa.array([len(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 

@@ -137,7 +137,10 @@ def _write_shards(folder: str, tokenizer: str, end_id: int):
                     total += len(ids) // 4 + 1
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            known = [d[0] for d in writer.docs if not d[1]]
+            ends = {"min_id": known[0] if known else None, "max_id": known[-1] if known else None}
+            row = {"shard": shard, "file": f"{folder}/{name}", "n_docs": len(writer.docs), "n_tokens": total} | ends
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.string() if k == "file" else pa.int64()) for k, v in row.items()})
 
     return run
 
@@ -145,7 +148,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards below ``folder`` (a URI all executors share); returns the manifest.
 
-    The manifest has shard (in order of ids), file, n_docs, n_tokens.
+    The manifest has shard (in order of ids), file, n_docs, n_tokens, and its least and greatest id (min_id, max_id).
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-shards")
@@ -155,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     order = ["doc_id", "h"]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialize(rows.mapInArrow(_write_shards(folder, tokenizer, end_id), "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
+    return materialize(rows.mapInArrow(_write_shards(folder, tokenizer, end_id), "shard long, file string, n_docs long, n_tokens long, min_id long, max_id long"), "token-manifest")
 
 
 def _read_shards(with_ids: bool):
@@ -196,21 +199,37 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and ids of the documents whose id is in ``wanted.doc_id``; other frames are not decompressed.
 
-    Wanted ids and shards meet by ranges of ids, in the shards' own indexes.
+    Wanted ids meet shards by the manifest's ranges of ids (one pair of bounds for each shard), go
+    to their shards by a shuffle, and are found there in the index; a shard without a wanted id is
+    not opened. Null wanted ids are left out; a repeated one counts once.
     """
-    want = sorted({r[0] for r in wanted.select("doc_id").distinct().limit(100_001).collect()})
-    if len(want) > 100_000:
-        raise ValueError("at most 100,000 documents can be asked for by id; read_tokens reads all")
+    spark = manifest.sparkSession
+    ranges = sorted(tuple(r) for r in manifest.where("max_id IS NOT NULL").select("shard", "min_id", "max_id", "file").collect())  # a row a shard
+    low, high = (np.array([r[k] for r in ranges], np.int64) for k in (1, 2))
+    files = [r[3] for r in ranges]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(high, keys, "left"), np.searchsorted(low, keys, "right")
+            n = np.maximum(last - first, 0)  # an id may go on in the next shard
+            shard = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int64()), "doc_id": pa.array(np.repeat(keys, n), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(want, np.int64)
+        held, shard = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                system, at = _open(r["file"])
-                with system.open_input_file(at) as f:
-                    shard = ShardReader(f)
-                    hit = np.flatnonzero(np.isin(shard.ids, keys) & (shard.null == 0))
-                    got = [shard.document(int(i)) for i in hit]
+            places, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for place in np.unique(places).tolist():
+                if place != held:
+                    system, at = _open(files[place])
+                    held, shard = place, ShardReader(system.open_input_file(at))
+                hit = np.flatnonzero(np.isin(shard.ids, keys[places == place]) & (shard.null == 0))
+                for k in range(0, len(hit), 1024):
+                    got = [shard.document(int(i)) for i in hit[k : k + 1024]]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in got], pa.int64()), "ids": pa.array([np.frombuffer(x, "<i4") for _, x in got], pa.list_(pa.int32()))})
 
-    return manifest.select("file", "shard").repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, ids array<int>")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    dealt = keys.mapInArrow(deal, "shard long, doc_id long").repartition(n, "shard").sortWithinPartitions("shard", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, ids array<int>")
