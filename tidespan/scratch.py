@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, or below a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, below a temporary folder on a local master only."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="tidespan-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidespan/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tidespan/{context.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -73,9 +73,9 @@ def from_arrow(spark: SparkSession, table) -> DataFrame:
 def render(df: DataFrame, kind: str, cap: int = 5000) -> tuple[list[str], bool]:
     """Up to ``cap`` result rows as json, csv or tsv lines, and whether there were more."""
     if kind == "json":
-        lines = df.toJSON()
+        lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
     else:
         sep = {"csv": ",", "tsv": "\t"}[kind]
         lines = df.select(F.to_csv(F.struct(*df.columns), {"sep": sep}).alias("value"))
-    got = [r if isinstance(r, str) else r[0] for r in lines.take(cap + 1)]
+    got = [r[0] for r in lines.take(cap + 1)]
     return got[:cap], len(got) > cap
