@@ -11,7 +11,7 @@ W = 8
 
 
 def brute(rows, min_words=W):
-    """Lines to delete of each distinct (id, text): windows seen before, then extension against the first place."""
+    """Units to delete of each distinct (id, text): windows both ways seen before, then extension against the first place."""
     key = sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0, ld_key(x)))
     seen, read = {}, {}
     for d in key:
@@ -25,8 +25,17 @@ def brute(rows, min_words=W):
                 n += size[j]
             if n >= min_words:
                 seen.setdefault(tuple(code[i : j + 1]), []).append((d, i, j))
+        for j in range(len(code)):
+            i, n = j, size[j]
+            while n < min_words and i > 0:
+                i -= 1
+                n += size[i]
+            if n >= min_words and (d, i, j) not in seen.get(tuple(code[i : j + 1]), []):
+                seen.setdefault(tuple(code[i : j + 1]), []).append((d, i, j))
     gone = {d: set() for d in key}
+    rank = {d: k for k, d in enumerate(key)}
     for places in seen.values():
+        places.sort(key=lambda x: (rank[x[0]], x[1]))
         s, si, _ = places[0]
         for d, i, j in places[1:]:
             a, b = read[d][1], read[s][1]
@@ -60,12 +69,10 @@ def corpus(rng):
     return rows + [(500, rows[-1][1]), (501, rows[-1][1])]
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_against_brute_force(spark, monkeypatch, limit):
-    """Also with look-ups over salts instead of broadcasts."""
-    from tidespan.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("size", [0, 300, 2_000_000])
+def test_against_brute_force(spark, monkeypatch, size):
+    """With a block for each document, for a few, and for all of a partition."""
+    monkeypatch.setattr(ld, "BLOCK_BYTES", size)
     rows = corpus(random.Random(1))
     docs = documents(spark, rows)
     KEYS.update({(r["doc_id"], r["text"]): r["k"] for r in docs.select("doc_id", "text", ld._dk("doc_id", "text").alias("k")).collect()})
@@ -163,5 +170,31 @@ def test_runs_that_go_on_after_their_first_place(spark):
     fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
     a, s = fresh(ld.MIN_WORDS), "a short line"
     rows = [(1, a), *((k, f"{fresh(10)}\n{a}\n{s}\n{fresh(10)}") for k in (2, 3, 4))]
-    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows), both_ways=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows)).collect()}
     assert s in got[2] and s not in got[3] and s not in got[4]
+
+
+def test_hashes_are_those_of_the_words(monkeypatch):
+    """Equal words give equal hashes wherever they stand and however texts are cut into segments; others differ."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé日") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    text = "".join(w + rng.choice([" ", "  ", "\t", "\n"]) for w in words * 2)
+    found = []
+    for segment in (64, 1 << 20):
+        monkeypatch.setattr(ld, "SEGMENT", segment)
+        w = ld.split_words([text.encode(), text.encode()])
+        found.append(ld._word_hashes(w.data, w.buf, w.starts, w.ends).tolist())
+    assert found[0] == found[1] and len(set(found[0])) == len(set(words))
+    assert found[0][:300] == found[0][300:600] == found[0][900:]
+
+
+def test_very_long_and_hot(spark):
+    """A text of a million words, a line that all documents have, and one with a single endless word."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    hot, long = fresh(12), fresh(300_000)
+    rows = [(0, hot), (1, long + "\n" + hot), (2, "x" * 3_000_000 + "\n" + hot), *((k, f"{fresh(20)}\n{hot}") for k in range(3, 300)), (900, long)]
+    got = {r["doc_id"]: r for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    assert got[0]["text"] == hot and all(got[k]["n_removed_words"] == 12 and hot not in got[k]["text"] for k in range(1, 300))
+    assert got[1]["text"] == long and got[2]["text"] == "x" * 3_000_000
+    assert len(got[900]["text"].split()) <= 2 * ld.CUT
