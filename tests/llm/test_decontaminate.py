@@ -3,7 +3,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from tidespan.llm import decontaminate
+from tidespan.llm import common, decontaminate
 
 from .helpers import EDGES, documents, prose, with_clashes
 
@@ -54,3 +54,52 @@ def test_copies_in_any_case_are_dropped(spark):
     around = lambda t: f"{prose(rng, 20)} {t} {prose(rng, 20)}"
     docs = documents(spark, [(20, around(QUESTION.lower())), (21, around(QUESTION.upper())), (22, around(" ".join(QUESTION.lower().split()[:12]))), (23, prose(rng, 200))])
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items(spark)).collect()) == [22, 23]
+
+
+def test_one_window_in_all_documents_and_items(spark, monkeypatch):
+    """A common template makes no pairs of its own, joined over salts or not, and nothing else is lost."""
+    rng = random.Random(10)
+    numbers = lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(30):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(n))
+    asked = [(k, f"{numbers(6)} {fresh(25)} {numbers(6)}") for k in range(60)]
+    bench = spark.createDataFrame([*asked, (99, numbers(9))], "item_id long, text string")
+    rows = [(k, f"{numbers(30)} {fresh(30)} {numbers(8)}") for k in range(150)] + [(1000 + k, f"{fresh(9)} {t} {fresh(9)}") for k, t in asked[::7]]
+    docs = documents(spark, rows)
+    c = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        c.register(name, df.toPandas())
+    want = sorted(c.execute(decontaminate.oracle_sql()).fetchall())
+    assert {(1000 + k, k) for k, _ in asked[::7]} <= {(d, i) for d, i, *_ in want}
+    for hot in (False, True):
+        if hot:
+            monkeypatch.setattr(common, "HOT", 10)
+            monkeypatch.setattr(common, "HOT_ROWS", 50)
+        got = decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "n_windows", "n_matched").collect()
+        assert sorted(map(tuple, got)) == want
+    pairs = [p for p in seen_pairs(spark, docs, bench)]
+    assert all(n < 400 for n in pairs)  # of 150 x 61 that share the window
+
+
+def seen_pairs(spark, docs, bench):
+    """Numbers of pairs that the rare windows form, each time they are stored."""
+    found, real = [], decontaminate.materialize
+
+    def keep(df, name):
+        out = real(df, name)
+        if name == "bench-pairs":
+            found.append(out.where("m_item_id <> 99").count())
+        return out
+
+    decontaminate.materialize = keep
+    try:
+        decontaminate.contaminated(docs, bench).count()
+    finally:
+        decontaminate.materialize = real
+    return found
+
+
+def test_very_long_document(spark):
+    rng = random.Random(11)
+    long = prose(rng, 150_000) + " " + QUESTION + " " + prose(rng, 150_000)
+    docs = documents(spark, [(1, long), (2, long), (3, prose(rng, 200_000))])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items(spark)).collect()} == {(1, 1), (2, 1)}

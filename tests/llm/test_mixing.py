@@ -68,3 +68,24 @@ def test_many_sources_and_empty(spark):
     assert mixing.plan(docs).count() == 300
     assert mixing.plan(docs.where(F.lit(False))).count() == 0
     assert mixing.plan(docs.withColumn("text", F.lit(None).cast("string"))).where("taken = 0 AND target = 0").count() == 300
+
+
+def test_rows_without_ids_and_long_texts(spark, monkeypatch):
+    """Rows of no id and one size are dealt by their texts; whole long texts count."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 40)
+    rng = random.Random(12)
+    rows = [(None, prose(rng, 10), "en", "a") for _ in range(400)] + [(1, "w " * 400_000, "en", "b"), (2, None, "en", None)]
+    got = mixing.plan(documents(spark, rows)).collect()
+    assert len(got) == 402 and next(r for r in got if r["doc_id"] == 1)["size"] == 400_000
+    mine = [r for r in got if r["source"] == "a"]
+    assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.02 * mine[0]["target"] + 30
+    sized = mixing._sized(documents(spark, rows), "doc_id", "text", "source")
+    assert sized.where("source = 'a'").select("h").distinct().count() == 400
+
+
+def test_weights_follow_code_points(spark):
+    names = ["b", "a", "Z", "é", None, "𝔘", "ﬁ", "zz", "z"]
+    sources = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")
+    got = {r["source"]: r["weight"] for r in mixing.cyclic_weights(sources, (5, 2, 1)).collect()}
+    order = sorted([n for n in names if n is not None]) + [None]
+    assert got == {n: (5.0, 2.0, 1.0)[k % 3] for k, n in enumerate(order)}

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidespan.llm import simhash
+from tidespan.llm import common, simhash
 
 from .helpers import EDGES, documents, prose, with_clashes
 
@@ -62,10 +62,13 @@ def test_against_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
 
 
-@pytest.mark.parametrize("limit", [4, 1024])
-def test_links_on_dense_fingerprints(spark, monkeypatch, limit):
-    """Clusters of near fingerprints, through the index and through the exact path of large nodes."""
+@pytest.mark.parametrize(("limit", "hot"), [(4, False), (4, True), (1024, False)])
+def test_links_on_dense_fingerprints(spark, monkeypatch, limit, hot):
+    """Clusters of near fingerprints, through top nodes, through deeper ones, and with hot nodes and hubs."""
     monkeypatch.setattr(simhash, "NODE_LIMIT", limit)
+    if hot:
+        monkeypatch.setattr(common, "HOT", 1_000_000)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rng = np.random.default_rng(6)
     codes = set()
     for base in rng.integers(0, 2**63, 12, dtype=np.uint64).tolist() + [0, 2**64 - 1]:
@@ -87,6 +90,34 @@ def test_links_on_dense_fingerprints(spark, monkeypatch, limit):
     assert [got[k] for k in range(len(codes))] == want
 
 
+def test_crowded_top_node(spark, monkeypatch):
+    """100,000 fingerprints that agree in their first 30 bits: no pair is lost, and no node is searched whole."""
+    rng = np.random.default_rng(7)
+    codes = np.unique(np.concatenate([rng.integers(0, 2**34, 90_000, dtype=np.uint64), np.arange(0, 2**16, 8, dtype=np.uint64)]))
+    near = codes[:500] ^ (np.uint64(1) << rng.integers(0, 34, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 34, 500).astype(np.uint64))
+    codes = np.unique(np.concatenate([codes, near]))
+    known, parent = {int(c): k for k, c in enumerate(codes)}, np.arange(len(codes))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    masks = [0, *(1 << b for b in range(34))]
+    ones = {}
+    for c, k in known.items():  # a pair at distance 2 or less shares a value within one bit of both
+        for m in masks:
+            ones.setdefault(c ^ m, []).append(k)
+    for ks in ones.values():
+        for k in ks[1:]:
+            a, b = find(ks[0]), find(k)
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(int(c),) for c in codes], "fp long")
+    root = {r["a"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    assert all(root.get(c, c) == int(codes[find(k)]) for c, k in known.items())
+
+
 def test_long_chains(spark):
     n = 200
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(500, 501)], "a long, b long")
@@ -103,20 +134,21 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_rows_without_ids(spark):
-    t, u = prose(random.Random(8), 60), prose(random.Random(9), 60)
-    docs = documents(spark, [(None, t), (4, t), (None, u), (None, u)])
-    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([("4", t), ("None", min([t, u], key=lambda x: {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}[x]))])
+    """Different texts without an id are different documents; one row of each stays."""
+    t, u, v = (prose(random.Random(k), 60) for k in (8, 9, 10))
+    docs = documents(spark, [(None, t), (4, t), (None, u), (None, u), (None, v)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([("4", t), ("None", u), ("None", v)])
 
 
 def test_unlike_texts_with_one_id(spark):
     """Every component leaves a row, whatever ids its rows repeat or lack."""
     a, b, c, d = (prose(random.Random(k), 60) for k in (21, 22, 23, 24))
     docs = documents(spark, [(5, a), (5, b), (7, b), (None, c), (None, d), (None, d), (None, b)])
-    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each_component(docs).collect()) == sorted([("5", a), ("5", b), ("None", c), ("None", d)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([("5", a), ("5", b), ("None", c), ("None", d)])
     clash = with_clashes(docs)
-    kept = simhash.one_of_each_component(clash)
+    kept = simhash.drop_near_duplicates(clash)
     assert kept.columns == clash.columns and kept.count() == 4
-    assert simhash.one_of_each_component(docs.where(F.lit(False))).count() == 0
+    assert simhash.drop_near_duplicates(docs.where(F.lit(False))).count() == 0
 
 
 def test_pipeline_stage_keeps_every_component(spark):

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 WORD_BREAK_RE = r"[\x20\x09-\x0D]+"
 
-#: A table of at most this many rows may be broadcast; the count is always taken first.
-BROADCAST_ROWS = 200_000
+#: A table of at most this many bytes may be broadcast; its rows and text are always counted first.
+BROADCAST_BYTES = 16 << 20
 #: Copies of the small side in a join that is spread over salts.
-SALTS = 16
+SALTS = 64
+#: Keys that can each hold more than a HOT-th of a table's rows: no more than this many. Fewer rows than HOT_ROWS need no care.
+HOT = 1_000
+HOT_ROWS = 10_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -67,21 +70,54 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_enough(df: DataFrame) -> bool:
+    """Whether ``df`` has at most BROADCAST_BYTES, by its rows and the lengths of its strings."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    fixed = 16 * len(df.columns) + 32
+    size = df.agg(F.sum(sum(texts, F.lit(fixed)).cast("long"))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def _salted(big: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
+    """Each row of ``big`` meets one of SALTS copies of ``small``; on compares columns of both."""
+    # salts come from the rows' values, so that a task that runs again deals its rows as before
+    values = [F.col(f"`{c}`") for c, kind in big.dtypes if not kind.startswith("map")]
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(*values, F.lit(17)), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("__salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, on & (F.col("__salt") == F.col("__salt_s")), how).drop("__salt", "__salt_s")
+
+
 def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``big`` with a table that has one row per ``key`` (null matches null).
 
-    The small side is broadcast only if it has at most ``BROADCAST_ROWS`` rows, which is
-    counted; beyond that both sides are spread over ``SALTS`` so that a hot key is not one task.
+    The small side is broadcast only if it is counted to be ``small_enough``; beyond that both
+    sides are spread over ``SALTS`` so that a hot key is not one task.
     """
     side = small.select(F.col(key).alias("__key"), *[c for c in small.columns if c != key])
-    if side.count() <= BROADCAST_ROWS:
+    if small_enough(side):
         return big.join(F.broadcast(side), big[key].eqNullSafe(side["__key"]), how).drop("__key")
-    # salts come from the rows' values, so that a task that runs again deals its rows as before
-    others = [F.col(f"`{c}`") for c, kind in big.dtypes if c != key and not kind.startswith("map")]
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*others, F.lit(17)), F.lit(SALTS)).cast("int"))
-    right = side.withColumn("__salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = left[key].eqNullSafe(right["__key"]) & (left["__salt"] == right["__salt_s"])
-    return left.join(right, on, how).drop("__key", "__salt", "__salt_s")
+    return _salted(big, side, F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys of (key, n) that hold more than one HOT-th of all rows, so HOT at most; None without any."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max((total or 0) / HOT, HOT_ROWS)
+    return F.broadcast(materialize(counts.where(F.col("n") > least).select(key), "hot-keys")) if (most or 0) > least else None
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Inner join on a key that is never null; counts: (key, n), the rows of ``big`` for each key.
+
+    Keys that hold so many rows that one task would stand out are joined over salts, all others
+    by an ordinary shuffle.
+    """
+    hot = hot_keys(counts, key)
+    if hot is None:
+        return big.join(small, key)
+    side = small.withColumnRenamed(key, "__key")
+    spread = _salted(big.join(hot, key, "left_semi"), side.join(hot.withColumnRenamed(key, "__key"), "__key", "left_semi"), F.col(key) == F.col("__key"), "inner").drop("__key")
+    return spread.unionByName(big.join(hot, key, "left_anti").join(small, key).select(*spread.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,11 @@ count; a document is contaminated by an item if they cover 80 % of the item's wi
 question and one with other numbers or names are both found, a document that only shares the
 shape of a sentence here and there is not.
 
+Pairs of a document and an item are formed from rare windows only: who covers 80 % of an item's
+windows covers at least one of its rarest 20 % and one more, by counts over all documents. So a
+window that stands in all documents and many items makes no pairs; all windows are then counted
+for the pairs that are left.
+
 With ``any_case``, as ``drop_contaminated`` has it, each window has a second hash, of its words in
 small letters without punctuation, and a position counts as covered if either hash aligns: copies
 in all small or all capital letters have no names that templates could show.
@@ -20,10 +25,10 @@ pooled windows; null ids match like values; input columns other than id and text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD_BREAK_RE, WORD_BREAKS, let, materialize
+from .common import WORD_BREAK_RE, WORD_BREAKS, join_spread, let, materialize, small_enough
 
 WINDOW = 5
 MIN_SHARE = 0.8
@@ -91,22 +96,38 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(name), F.xxhash64(F.col(text_col)).alias("h"), _spaced(F.col(text_col)).alias("s"))
 
 
+def _rarest(grams: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """item_id, g: windows of each item, the rarest first, so many that no document can miss them all and still cover MIN_SHARE."""
+    often = grams.join(counts, "g", "left").groupBy("item_id", "ip").agg(F.sum(F.coalesce("n", F.lit(0))).alias("often"))
+    placed = often.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("often", "ip")))
+    size = sizes.withColumnRenamed("item_id", "i")
+    few = placed.join(size, F.col("item_id").eqNullSafe(F.col("i"))).where(F.col("k") <= F.col("n_windows") - F.ceil(MIN_SHARE * F.col("n_windows") - 1e-9) + 1)
+    few = few.select(F.col("item_id").alias("r_item"), F.col("ip").alias("r_ip"))
+    return grams.join(few, F.col("item_id").eqNullSafe(F.col("r_item")) & (F.col("ip") == F.col("r_ip"))).select("item_id", "g").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", any_case: bool = False) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows (of the item), n_matched: one row for each contaminated document and item."""
     items = _keyed(benchmark, item_col, item_text_col, "item_id")
     grams = materialize(_grams(items, ["item_id"], "ip", any_case).distinct(), "bench-windows")
     sizes = grams.groupBy("item_id").agg(F.countDistinct("ip").alias("n_windows"))
     keys = grams.select("g").distinct()
-    if keys.count() <= BROADCAST_ROWS:
+    if small_enough(keys):
         keys = F.broadcast(keys)
     texts = _keyed(docs, id_col, text_col, "doc_id")
     found = _grams(texts, ["doc_id", "h"], "dp", any_case).join(keys, "g", "left_semi")
-    # few windows of the corpus are the benchmark's; they are stored, then counted for each pair
+    # few windows of the corpus are the benchmark's; they are stored and counted
     found = materialize(found, "bench-hits")
-    match = found.join(grams, "g").select("doc_id", "h", "item_id", "ip", "dp").distinct()
+    counts = materialize(found.groupBy("g").agg(F.count("*").alias("n")), "bench-counts")
+    rare = _rarest(grams, counts, sizes)
     share = lambda n: F.col(n) >= MIN_SHARE * F.col("n_windows")
     pair = ["doc_id", "h", "item_id"]
-    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
+    met = join_spread(found, rare, "g", counts).select(*[F.col(n).alias(f"m_{n}") for n in pair]).distinct()
+    met = materialize(met, "bench-pairs")
+    hits = met.join(found, F.col("m_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m_h") == F.col("h"))).select(*pair[:2], F.col("m_item_id").alias("item_id"), "dp", "g")
+    each = grams.select(F.col("item_id").alias("i"), "ip", F.col("g").alias("i_g"))
+    match = hits.join(each, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("g") == F.col("i_g"))).select(*pair, "ip", "dp").distinct()
+    match = materialize(match, "bench-matches")
     covered = match.groupBy(*pair).agg(F.countDistinct("ip").alias("n"))
     covered = covered.join(sizes.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i"))).where(share("n")).select(*pair, "n_windows")
     covered = materialize(covered, "bench-candidates")
@@ -132,7 +153,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs``, with their columns, that no benchmark item contaminates."""
     bad = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, any_case=True).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_h")).distinct()
     bad = materialize(bad, "bench-bad")
-    if bad.count() <= BROADCAST_ROWS:
+    if small_enough(bad):
         bad = F.broadcast(bad)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"))
     return rows.join(bad, F.col("__id").eqNullSafe(F.col("__bad_id")) & (F.col("__h") == F.col("__bad_h")), "left_anti").select("__row.*")

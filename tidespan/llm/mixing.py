@@ -13,15 +13,15 @@ up, and a shard ends within about one of its smallest documents of what it owes.
 always taken whole.
 
 Defined results: a null text has size 0 and is taken 0 times; a source of size 0 has target 0;
-a null source is a source of its own, last in order; rows equal in id and size are dealt together,
-in no fixed order among themselves; an empty table gives an empty result; other columns pass through ``mix``.
+a null source is a source of its own, last in order; rows equal in id and text are dealt together,
+in no fixed order among themselves, rows without an id by their text; an empty table gives an empty result; other columns pass through ``mix``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_lookup, materialize, word_count
@@ -36,29 +36,29 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     Each round is one aggregation over the sources; it clamps at least one more source.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    level = 0.0  # words per unit of weight
+    level, clamped = 0.0, -1  # words per unit of weight
     while True:
-        full = F.col("weight") * F.lit(level) >= cap
-        r = sources.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.sum(F.when(full, 1))).first()
-        used, weight, n = r[0] or 0.0, r[1] or 0.0, r[2] or 0
-        if not weight or total <= used:
-            break
-        new = (total - used) / weight
-        done = sources.where(~full & (F.col("weight") * F.lit(new) > cap)).limit(1).count() == 0
-        level = new
-        if done:
+        full = F.col("weight") * F.lit(level) > cap
+        used, weight, n = sources.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if n == clamped or not weight or total <= (used or 0.0):
             break
+        level, clamped = (total - (used or 0.0)) / weight, n
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(level), cap))
 
 
 def cyclic_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """Weight the sources in order of code points, null last, by ``weights``, repeating.
 
-    Ranks come from a range-partitioned sort: partition counts first, then positions.
+    Ranks come from a range-partitioned sort: each partition's count first, then places inside.
     """
-    first = sources.orderBy(F.col("source").asc_nulls_last()).select("source", "source_size").rdd.zipWithIndex()
-    ranked = first.map(lambda x: (x[0][0], x[0][1], float(weights[x[1] % len(weights)])))
-    return sources.sparkSession.createDataFrame(ranked, "source string, source_size long, weight double")
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    placed = sources.repartitionByRange(n, order).sortWithinPartitions(order).select("source", "source_size", F.monotonically_increasing_id().alias("at"))
+    placed = materialize(placed.select("source", "source_size", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("k")), "mix-order")
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    start = placed.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("start") + F.col("k"), F.lit(len(weights))) + 1).cast("int"))
+    return placed.join(F.broadcast(start), "part").select("source", "source_size", weight.alias("weight"))
 
 
 def _take(fraction: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -80,13 +80,13 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     """A stored table, so that row_id stays what it is."""
     return materialize(
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *more),
+        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h"), *more),
         "mix-sizes",
     )
 
 
 def _repetitions(sized: DataFrame, weights: tuple[float, ...], total_share: float, max_epochs: float, seed: int) -> DataFrame:
-    sized = sized.select("row_id", "doc_id", "source", "size")
+    sized = sized.select("row_id", "doc_id", "source", "size", "h")
     sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "mix-sources")
     total = total_share * (sources.agg(F.sum("source_size")).first()[0] or 0)
     shares = water_fill(materialize(cyclic_weights(sources, weights), "mix-weights"), total, max_epochs)
@@ -94,7 +94,7 @@ def _repetitions(sized: DataFrame, weights: tuple[float, ...], total_share: floa
     targets = materialize(shares.join(counts, shares["source"].eqNullSafe(counts["s"])).drop("s", "weight"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = join_lookup(sized, targets.select("source", rate.alias("rate"), "n_docs"), "source")
-    code = lambda salt: F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit(salt))
+    code = lambda salt: F.xxhash64(F.col("doc_id"), F.col("size"), F.col("h"), F.lit(seed), F.lit(salt))
     rows = rows.select(
         "row_id", "doc_id", "source", "size",
         F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction"),

@@ -11,9 +11,12 @@ are searched with a Gray-order hierarchical index, dealt out over the cluster:
    of ``FANOUT`` form leaves, runs of leaves form upper nodes; each node stores the bits its
    members share (mask and pattern). A query's differences from a node's pattern, added up on
    the way down, prune the whole node once they exceed the distance.
-3. A top node with more than ``NODE_LIMIT`` members is not searched. Its members take an exact
-   path instead: two fingerprints differ in at most 2 bits if and only if they share a value
-   among themselves and their 64 one-bit changes, and no value is shared by more than 65.
+3. A top node with more than ``NODE_LIMIT`` members is not searched but made an upper node: its
+   members are stored again below each of ``DISTANCE + 1`` shares of the bits that its mask leaves,
+   rotated to follow the mask. Fingerprints of one node that differ in at most ``DISTANCE`` bits
+   agree in one share, so they meet one level down, below a mask of more bits. That goes on until
+   nodes are small; a mask that leaves ten bits has 1,024 members at most. Nodes that hold so many
+   rows that one task would stand out are found by counts and go down without being dealt.
 
 Each search writes a star per local component, never all pairs, and components of the whole are
 found by alternating large-star and small-star steps on tables in the shared folder. Exact
@@ -34,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, join_spread, materialize
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
 BLOCKS = DISTANCE + 1
 FANOUT = 16
-#: Members of a top node that are searched in one task; larger nodes take the exact path.
+#: Members of a node that are searched at once; larger nodes get a level more. At least 2 ** 10.
 NODE_LIMIT = 1024
 #: Rows of the index that are searched at once, so that a task's memory is bounded.
 CHUNK = 32_768
@@ -146,29 +149,58 @@ def _search(chunk: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return chunk[rows], chunk[root[rows]]
 
 
-def _index_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (top, rank). Top nodes are searched whole, some at a time."""
-    fps, tops, n = [], [], 0
+def _index_links(last: bool):
+    """Rows (fp, code, node, path) come sorted by (node, rank): links of small nodes, members (fp, code, path) of others.
 
-    def out(x: np.ndarray, t: np.ndarray):
-        a, b = _search(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    for batch in batches:
-        fps.append(batch.column("fp").to_numpy(zero_copy_only=False))
-        tops.append(batch.column("top").to_numpy(zero_copy_only=False))
-        n += batch.num_rows
-        if n >= CHUNK:
-            x, t = np.concatenate(fps), np.concatenate(tops)
-            # the last top node may go on in the next batch
-            cut = int(np.flatnonzero(t[1:] != t[:-1])[-1]) + 1 if (t[1:] != t[:-1]).any() else 0
-            for lo, hi in _slices(t[:cut]):
-                yield out(x[lo:hi], t[lo:hi])
-            fps, tops, n = [x[cut:]], [t[cut:]], len(x) - cut
-    if n:
-        x, t = np.concatenate(fps), np.concatenate(tops)
-        for lo, hi in _slices(t):
-            yield out(x[lo:hi], t[lo:hi])
+    last: all nodes are searched, since their masks leave too few bits for more members.
+    """
+    limit = 1 << 62 if last else NODE_LIMIT
+    link, member = np.int64(0), np.int64(1)
+
+    def row(a, b, kind, path):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind)), pa.array(path)], names=["a", "b", "kind", "path"])
+
+    def out(fp, code, node, path) -> Iterator[pa.RecordBatch]:
+        """Whole nodes."""
+        start = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(node)))
+        crowded = np.repeat(size > limit, size)
+        yield row(fp[crowded], code[crowded], member, path[crowded])
+        fp, node = fp[~crowded], node[~crowded]
+        for lo, hi in _slices(node):
+            a, b = _search(fp[lo:hi], node[lo:hi])
+            yield row(a, b, link, np.zeros(len(a), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, passing = [], 0, None
+
+        def take(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, passing
+            rows = [np.concatenate(c) for c in zip(*held)]
+            if passing is not None:  # the rest of a node whose first members went down already
+                more = rows[2] == passing
+                yield row(rows[0][more], rows[1][more], member, rows[3][more])
+                rows = [c[~more] for c in rows]
+            t = rows[2]
+            edges = np.flatnonzero(t[1:] != t[:-1])
+            cut = len(t) if final else int(edges[-1]) + 1 if len(edges) else 0  # the last node may go on
+            yield from out(*[c[:cut] for c in rows])
+            rows = [c[cut:] for c in rows]
+            if len(rows[0]) > limit:
+                passing = int(rows[2][0])
+                yield row(rows[0], rows[1], member, rows[3])
+                rows = [c[:0] for c in rows]
+            held, n = [rows], len(rows[0])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield from take(False)
+        if held:
+            yield from take(True)
+
+    return run
 
 
 def _slices(top: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -186,10 +218,19 @@ def _slices(top: np.ndarray) -> Iterator[tuple[int, int]]:
     yield lo, len(top)
 
 
-def _rotated(fp, block: int):
-    """The code with its block-th share of bits at the top."""
-    by = block * (BITS // BLOCKS)
-    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
+def _shares(code, depth: int):
+    """The code's bits after the first ``depth``, rotated so that each share of them comes first once."""
+    rest, width = BITS - depth, (BITS - depth) // BLOCKS
+    low = F.lit((1 << rest) - 1 if depth else -1).cast("long")
+    out = []
+    for r in range(BLOCKS):
+        turned = code
+        if r:
+            tail = code.bitwiseAND(low)
+            turned = F.shiftleft(tail, r * width).bitwiseOR(F.shiftrightunsigned(tail, rest - r * width)).bitwiseAND(low)
+            turned = turned.bitwiseOR(code.bitwiseAND(F.bitwise_not(low)))
+        out.append(turned)
+    return out, depth + width
 
 
 def _gray_rank(code):
@@ -200,23 +241,26 @@ def _gray_rank(code):
 
 def links(distinct: DataFrame) -> DataFrame:
     """Stars (a, b) over distinct ``fp`` whose components are those of distance at most DISTANCE."""
-    width = BITS // BLOCKS
-    # the top node holds the block's number and its bits; ranks are moved to sort as signed longs
-    entry = lambda r: F.struct(
-        F.shiftrightunsigned(_rotated(F.col("fp"), r), BITS - width).bitwiseOR(F.lit(r << (width + 1)).cast("long")).alias("top"),
-        _gray_rank(_rotated(F.col("fp"), r)).bitwiseXOR(F.lit(-(2**63)).cast("long")).alias("rank"),
-    )
-    index = distinct.select("fp", F.explode(F.array(*[entry(r) for r in range(BLOCKS)])).alias("e")).select("fp", "e.top", "e.rank")
-    large = materialize(index.groupBy("top").count().where(F.col("count") > NODE_LIMIT).select("top"), "simhash-large-nodes")
-    small = index.join(large, "top", "left_anti")
-    found = small.repartition("top").sortWithinPartitions("top", "rank").mapInArrow(_index_links, "a long, b long")
-    # the exact path: every member of a large node against all others of its node
-    hot = index.join(large, "top", "left_semi").select("top", "fp")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(2**63)).cast("long")) for k in range(BITS)])
-    flips = hot.select("fp").distinct().select("fp", F.explode(flips).alias("v"))
-    least = flips.groupBy("v").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("near")).where(F.size("near") > 1)  # 65 at most
-    near = least.select(F.explode("near").alias("a"), "b").where("a <> b")
-    return found.unionByName(near).distinct()
+    level, depth, found = distinct.select("fp", F.col("fp").alias("code"), F.lit(1).cast("long").alias("path")), 0, None
+    while True:
+        shares, depth = _shares(F.col("code"), depth)
+        last = 1 << (BITS - depth) <= 1024
+        # a node: the shares that were chosen so far, and the bits of these
+        entry = F.array(*[F.struct(s.alias("code"), (F.col("path") * BLOCKS + r).alias("path")) for r, s in enumerate(shares)])
+        index = level.select("fp", F.explode(entry).alias("e")).select("fp", "e.code", "e.path")
+        index = index.withColumn("node", F.xxhash64("path", F.shiftrightunsigned("code", BITS - depth)))
+        hot = None if last else hot_keys(index.groupBy("node").agg(F.count("*").alias("n")), "node")
+        cold = index if hot is None else index.join(hot, "node", "left_anti")
+        rank = _gray_rank(F.col("code")).bitwiseXOR(F.lit(-(2**63)).cast("long"))  # moved to sort as signed longs
+        dealt = cold.withColumn("rank", rank).repartition("node").sortWithinPartitions("node", "rank").select("fp", "code", "node", "path")
+        searched = materialize(dealt.mapInArrow(_index_links(last), "a long, b long, kind long, path long"), "simhash-links")
+        near = searched.where("kind = 0").select("a", "b")
+        found = near if found is None else found.unionByName(near)
+        level = searched.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("code"), "path")
+        if hot is not None:
+            level = level.unionByName(index.join(hot, "node", "left_semi").select("fp", "code", "path"))
+        if last or not level.limit(1).count():
+            return found.distinct()
 
 
 def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
@@ -224,16 +268,17 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
 
     Alternates large-star (each node's larger neighbours go to its smallest neighbour) and
     small-star (the smaller ones do), until nothing changes; each round is a table in the
-    shared folder.
+    shared folder. The hub of a large star is joined over salts.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(both, least.select("a", "m"), "a", least.select("a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, f"{name}-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least.select("a", "m"), "a", least.select("a", "n"))
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(moved.unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
         state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
@@ -243,10 +288,10 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
 
 
 def _roots_of(prints: DataFrame) -> DataFrame:
-    """f, root, low: each fingerprint's component and the smallest id that has the fingerprint."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    """fp, root, low, n: each fingerprint's component, the smallest id that has the fingerprint, and its rows."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
     root = components(links(nodes.select("fp")))
-    return nodes.join(root, nodes["fp"] == root["a"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "low")
+    return materialize(nodes.join(root, nodes["fp"] == root["a"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "n"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,30 +299,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     member = _roots_of(prints)
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = member.join(low, "root").select("f", "component_id")
+    size = member.groupBy("root").agg(F.count("*").alias("n"))
+    group = join_spread(member.select("fp", "root"), low, "root", size).select("fp", "component_id")
     hex_print = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(member, prints["fp"] == member["f"], "left").select("doc_id", hex_print, "component_id")
+    return join_spread(prints, group, "fp", member.select("fp", "n")).select("doc_id", hex_print, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with its columns: the one of smallest id, then smallest hash of the row's text.
-
-    Of rows whose id is null at most one stays, and only if a component has no other id; equal
-    rows leave one.
-    """
-    found = materialize(near_duplicates(docs, id_col, text_col), "simhash-components")
-    first = found.select(F.col("component_id").alias("__keep")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"))
-    # one shuffle of whole rows: the join and the aggregation share their partitioning
-    least = F.min_by("__row", "__h").alias("__row")
-    kept = rows.join(first, F.col("__id") == F.col("__keep"), "left_semi").groupBy("__id").agg(least).select("__row.*")
-    if first.where("__keep IS NULL").limit(1).count():
-        loose = rows.where("__id IS NULL").agg(least).where("__row IS NOT NULL").select("__row.*")
-        kept = kept.unionByName(loose)
-    return kept
-
-
-def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with its columns: the one of smallest id (null last), then smallest hash of the row's text.
 
     Components are told apart by their root fingerprint, so rows that repeat an id or have none
@@ -286,8 +314,7 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     key = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__h")]
     least = prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("k"))
-    member = _roots_of(prints).select("f", "root")
-    keep = least.join(member, least["fp"] == member["f"]).groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    keep = least.join(_roots_of(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     keep = materialize(keep, "simhash-kept")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     i = F.col(id_col).cast("long")
