@@ -4,7 +4,9 @@ Sequential covering: a rule is a conjunction of thresholds on document statistic
 the condition of highest FOIL gain on the growing part of the labelled rows, is pruned back to
 the prefix with the best ``(bad - good) / (bad + good)`` on the pruning part, and is kept if it
 is precise there. Rows it covers go and the next rule grows on the rest. The list becomes one
-``CASE WHEN`` column. Every step is a Spark aggregation over all labelled rows; the driver sees
+``CASE WHEN`` column. Learning stops at the first rule that is not precise; a list has ``MAX_RULES``
+rules at most, a rule ``MAX_CONDITIONS`` conditions, and thresholds lie between ``BINS`` quantiles of
+each class, which bounds the model, not what it is learned from or applied to. Every step is a Spark aggregation over all labelled rows; the driver sees
 only quantiles of each class and histograms of ``features x 2 BINS x 2`` counts.
 
 Defined results: a null text counts as empty and has no words, so it fails the base rule; a text

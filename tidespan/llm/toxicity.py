@@ -15,8 +15,8 @@ catch inflected and compound forms that were never seen. Learning uses at most `
 rows of each class, the first by a hash of the id; scoring reads every row and whole texts.
 
 Defined results: null and empty texts get the model's base rate; with no labelled rows the given
-word lists alone and fixed weights are used; rows equal in id get a row each; columns other than
-id and text are not read for scoring.
+word lists alone and fixed weights are used; a document labelled toxic and clean counts for both;
+rows equal in id get a row each; columns other than id and text are not read for scoring.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Labelled rows of each class that the model is learned from.
 SAMPLE = 4_000
 STEM = range(3, 9)
@@ -201,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     code = F.xxhash64("id", F.lit(11))
     picked = marked.where("y = 1").orderBy(code, "id").limit(sample).unionByName(marked.where("y = 0").orderBy(code, "id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("doc") == F.col("id")).select("y", "text")  # 2 * sample rows
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("doc") == F.col("id")).select("y", "text")
+    rows = materialize(rows, "toxic-sample")  # 2 * sample rows
     total = {y: min(sample, n.get(y, 0)) for y in (0, 1)}
     if not total[1]:
         return Model({})
