@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_lookup
+
 TRAIN_DOCS, TRAIN_CHARS = 256, 100_000
 PIECE = 128
 #: Entries of an automaton's table; a larger one is searched among its edges instead.
@@ -238,7 +240,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     size = F.length(text_col)
     rows = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("t"), F.when(size > train_chars, size).otherwise(0).alias("over"), size.alias("n"))
-    order = Window.partitionBy("l").orderBy("over", F.xxhash64("id", F.lit(5)), "id", "t")
+    # of a large language only rows of a low hash are dealt to its window, about eight times as many as can be taken
+    rows = join_lookup(rows.withColumn("h", F.xxhash64("id", F.lit(5))), rows.groupBy("l").agg(F.count("*").alias("rows")), "l")
+    rows = rows.where(F.col("h") / 2.0**64 + 0.5 <= 8.0 * train_docs / F.col("rows"))
+    order = Window.partitionBy("l").orderBy("over", "h", "id", "t")
     first = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).drop("k")  # train_docs rows a language
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = first.withColumn("before", before).withColumn("k", F.row_number().over(order)).where(F.col("before") < train_chars).select("id", "l", "t", "k").distinct()
