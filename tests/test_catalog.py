@@ -35,14 +35,16 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(flat([r[i] for i in a])) for r in got) == sorted(repr(flat([r[i] for i in b])) for r in want)
 
 
-def test_entry_without_corpus_operators(monkeypatch):
-    """The entry imports and offers the core queries where the subpackage is gone."""
-    import importlib.util
+@pytest.mark.parametrize("missing", ["tidespan.llm.queries", "zstandard"])
+def test_entry_without_corpus_operators(monkeypatch, missing):
+    """The entry imports and offers the core queries where the subpackage, or a library that it needs, is gone."""
+    import sys
 
     import __spark_entry__
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == "tidespan.llm" else real(n, *a))
+    for name in [n for n in sys.modules if n.startswith("tidespan.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
 
 

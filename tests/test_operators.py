@@ -1,12 +1,14 @@
 import datetime as dt
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidespan import model
 from tidespan.operators import join, lifecycle, scan, stats, write
-from tidespan.operators.versions import Conflict, VersionedTable
+from tidespan.operators.versions import Catalog, Conflict, VersionedTable
 from tidespan.sources import files, fixtures
 
 T0 = dt.datetime(2024, 1, 1)
@@ -105,11 +107,117 @@ def test_validation_and_layouts(spark):
 def test_column_stats_merge(spark):
     df = spark.createDataFrame([(10, None), (9, 2.5), (-3, 1.0)], "a int, b double")
     whole = {r["column_name"]: r for r in stats.column_stats(df, ["a", "b"]).collect()}
-    assert (whole["a"]["low"], whole["a"]["high"], whole["b"]["n_nulls"]) == ("-3.0", "10.0", 1)
+    assert (whole["a"]["low"], whole["a"]["high"], whole["b"]["n_nulls"]) == ("-3", "10", 1)
     parts = stats.merge_stats(stats.column_stats(df.where("a > 9"), ["a", "b"]), stats.column_stats(df.where("a <= 9"), ["a", "b"]))
     assert {r["column_name"]: tuple(r) for r in parts.collect()} == {k: tuple(v) for k, v in whole.items()}
 
 
+def test_column_stats_are_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "b", 0.1 + 0.2), (-big, "a", None)], "n bigint, s string, x double")
+    got = {r["column_name"]: (r["low"], r["high"]) for r in stats.merge_stats(stats.column_stats(df, ["n", "s", "x"]), stats.column_stats(df.limit(0), ["n", "s", "x"])).collect()}
+    assert got == {"n": (str(-big), str(big)), "s": ("a", "b"), "x": ("0.30000000000000004", "0.30000000000000004")}
+
+
+def test_equal_writes_have_one_winner(spark):
+    rows = [(1, "a", 5, {"x": "1"}), (1, "b", 5, {"x": "2"}), (1, "c", 4, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k int, v string, write_seq int, m map<string,string>")
+        assert [r["v"] for r in write.last_write_wins(df, ["k"]).collect()] == ["b"]
+        assert write.rank_writes(df, ["k"]).where("write_rank = 1").first()["v"] == "b"
+
+
+@pytest.mark.parametrize("width", [1_000_000, 7_000_000, 10**12])
+def test_as_of_join_by_ranges(spark, width):
+    """Cut into time ranges or not, also with null keys and series without any row before."""
+    rng = random.Random(width)
+    at = lambda: T0 + dt.timedelta(seconds=rng.randrange(60))
+    left = spark.createDataFrame([(k, rng.choice(["a", "b", "c", None]), at()) for k in range(80)], "id int, k string, timestamp timestamp_ntz")
+    right = spark.createDataFrame([(k, t, v) for (k, t), v in {(rng.choice(["a", "b", None]), at()): n for n in range(40)}.items()], "k string, timestamp timestamp_ntz, v int")
+    one, many = join.as_of_join(left, right, ["k"], ["v"]), join.as_of_join(left, right, ["k"], ["v"], width_micros=width)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def _stop_at(monkeypatch, module, name, nth):
+    """The nth call dies."""
+    real, calls = getattr(module, name), []
+
+    def f(*a, **k):
+        calls.append(1)
+        if len(calls) == nth:
+            raise RuntimeError("died")
+        return real(*a, **k)
+
+    monkeypatch.setattr(module, name, f)
+
+
+@pytest.mark.parametrize(("step", "nth"), [("write", 1), ("rename", 1), ("rename", 2), ("delete", 1)])
+@pytest.mark.parametrize("kind", ["move", "compact"])
+def test_changes_are_finished_after_a_crash(spark, tmp_path, monkeypatch, step, nth, kind):
+    from tidespan.operators import publish
+
+    path, staging = str(tmp_path / "m"), str(tmp_path / "s")
+    rows = [(T0 + dt.timedelta(minutes=m), "a", None, float(m), m) for m in range(6)]
+    write.append(points(spark, rows), path)
+    write.append(points(spark, [(T0, "a", None, 99.0, 100)]), path)
+    run = (lambda: lifecycle.move(spark, path, staging, [("active", T0.date(), "warm")])) if kind == "move" else (lambda: lifecycle.compact(spark, path, staging, T0.date()))
+    with monkeypatch.context() as m:
+        _stop_at(m, publish.Files, step, nth)
+        with pytest.raises(RuntimeError):
+            run()
+    # a row that comes in between is not lost
+    write.append(points(spark, [(T0 + dt.timedelta(minutes=50), "a", None, 50.0, 200)]), path)
+    run()
+    got = sorted((r["tier"], r["usage"]) for r in lifecycle.read(spark, path).collect())
+    want = [*map(float, range(6)), 50.0, 99.0] if kind == "move" else [*map(float, range(1, 6)), 50.0, 99.0]
+    assert got == [("warm" if kind == "move" else "active", u) for u in sorted(want)]
+
+
+def test_tag_values_survive_compaction(spark, tmp_path):
+    path, staging = str(tmp_path / "m"), str(tmp_path / "s")
+    write.append(points(spark, [(T0, "a", None, 1.0, 1), (T0, "a", None, 2.0, 2), (T0, "a", "\0", 3.0, 3)]), path)
+    got = lifecycle.compact(spark, path, staging, T0.date())
+    assert sorted((r["tag_region"] is None, r["usage"]) for r in got.collect()) == [(False, 3.0), (True, 2.0)]
+
+
+def test_levels(spark, tmp_path):
+    path, staging = str(tmp_path / "m"), str(tmp_path / "s")
+    every = []
+    for k in range(8):
+        assert lifecycle.compact_levels(spark, path, staging) == []
+        rows = [(T0 + dt.timedelta(minutes=m), "a", None, float(k), k) for m in range(3)]
+        every += rows
+        write.append(points(spark, rows), path)
+    assert lifecycle.compact_levels(spark, path, staging) == [1]
+    assert {r["level"] for r in lifecycle.files(spark, path).collect()} == {1}
+    assert [r["usage"] for r in lifecycle.read(spark, path).collect()] == [7.0] * 3
+    for n in ("L1-x", "L1-y", "L1-z"):
+        write.laid_out(points(spark, [(T0, "b", None, 1.0, 50)])).write.mode("append").partitionBy("tier", "date").parquet(str(tmp_path / n))
+        from tidespan.operators.publish import Files
+
+        f = Files(spark)
+        for name in f.below(str(tmp_path / n)):
+            at, _, last = name.rpartition("/")
+            assert f.rename(str(tmp_path / n / name), f"{path}/{at}/{n}-{last}")
+    assert lifecycle.compact_levels(spark, path, staging) == [2]
+    listed = lifecycle.files(spark, path).collect()
+    assert {r["level"] for r in listed} == {2} and [r["modified"] for r in listed] == sorted((r["modified"] for r in listed), reverse=True)
+    assert lifecycle.read(spark, path).count() == 4
+
+
+def test_hot_days_take_more_files(spark, tmp_path):
+    """Files follow the rows: a day that holds most of them, and one series of it, is not one file."""
+    hot = spark.range(200_000).select((F.lit(T0) + F.make_dt_interval(secs=F.col("id") / 10)).cast("timestamp_ntz").alias("timestamp"), F.lit("a").alias("tag_host"), F.rand(1).alias("usage"))
+    cold = spark.range(10).select((F.lit(T0) + F.make_dt_interval(days=F.col("id").cast("int") + 2)).cast("timestamp_ntz").alias("timestamp"), F.lit("a").alias("tag_host"), F.rand(1).alias("usage"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write.append(hot.unionByName(cold), str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = {str(r["date"]): r["n"] for r in lifecycle.files(spark, str(tmp_path / "m")).groupBy("date").agg(F.count("*").alias("n")).collect()}
+    assert n[str(T0.date())] >= 3
+
+
 def test_life_cycle(spark, tmp_path):
     path, staging = str(tmp_path / "m"), str(tmp_path / "s")
     rows = [(T0 + dt.timedelta(days=d, minutes=m), "a", None, float(m), m) for d in (0, 20, 30) for m in range(3)]
@@ -146,6 +254,8 @@ def test_versions(spark, tmp_path):
     assert stats.snapshot_diff(t.files(1), t.files()).orderBy("change").collect()[0]["n_files"] == 2
     t.compact()
     assert len(t.current().files) == 1 and t.scan().count() == 3
+    with pytest.raises(LookupError):
+        t.find(at=0.5)
     t.rollback(1)
     assert t.scan().collect() == [("a", 1)]
     assert 1 not in t.expire(before=10.0) and t.history().count() == len(t.versions())
@@ -153,6 +263,82 @@ def test_versions(spark, tmp_path):
         t.append(spark.createDataFrame([(1,)], "nope int"))
 
 
+def test_partition_specs_and_pruning(spark, tmp_path):
+    """Files are opened only if their partition and bounds may hold rows; commits keep their own spec."""
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.create({"timestamp": "timestamp_ntz", "tag_host": "string", "n": "int"}, [("timestamp", "day"), ("tag_host", "identity")])
+    rows = [(T0 + dt.timedelta(days=d, hours=h), host, 100 * d + h) for d in range(4) for h in (1, 13) for host in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, tag_host string, n int")
+    t.append(df)
+    t.respec([("timestamp", "month"), ("tag_host", "bucket", 4)])
+    t.append(df.withColumn("n", F.col("n") + 1000))
+    t.respec([])
+    t.append(df.where("n < 100").withColumn("n", F.col("n") + 5000))
+    t.evolve(promote={"n": "bigint"}, rename={"tag_host": "tag_server"}, add={"x": "double"})
+    every = [(a, b, c) for a, b, c in rows] + [(a, b, c + 1000) for a, b, c in rows] + [(a, b, c + 5000) for a, b, c in rows if c < 100]
+    day = T0 + dt.timedelta(days=2)
+    ops = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    for where in ([], [("timestamp", ">=", day)], [("timestamp", "<", day), ("tag_server", "=", "a")], [("tag_server", "=", "b"), ("n", ">", 1100)], [("n", "=", 5001)], [("timestamp", "=", day + dt.timedelta(hours=1))], [("tag_server", ">=", "b")], [("x", "=", 1.0)], [("n", ">", 10**10)]):
+        place = {"timestamp": 0, "tag_server": 1, "n": 2}
+        want = [r for r in every if all(c in place and r[place[c]] is not None and ops[o](r[place[c]], v) for c, o, v in where)]
+        got = t.scan(where=where)
+        assert sorted(map(repr, (tuple(r)[:3] for r in got.collect()))) == sorted(map(repr, want)), where
+    n = lambda where: t.planned(where).count()
+    assert n([]) >= 12 + 2 and n([("n", "=", 5001)]) <= 1 and n([("n", ">", 10**10)]) == 0
+    assert n([("timestamp", ">=", day)]) < n([]) and t.planned([("n", "<", 50)]).count() < n([])
+    plan = t.scan(where=[("tag_server", "=", "a"), ("timestamp", ">=", day)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "p_2_identity" in plan
+    assert {r["column_name"]: r["partitioned_by"] for r in t.detail().collect()} == {"timestamp": None, "tag_server": None, "n": None, "x": None}
+    gone = t.expire(before=time.time() + 1, keep=1, delete_data=True)
+    assert gone and t.scan().count() == len(every)
+    t.compact()
+    t.expire(before=time.time() + 1, keep=1, delete_data=True)
+    assert t.scan().count() == len(every) and len([x for x in os.listdir(tmp_path / "t" / "data")]) == 1
+
+
+def test_a_version_is_never_half_written(spark, tmp_path, monkeypatch):
+    from tidespan.operators import publish
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.create({"n": "int"})
+    with monkeypatch.context() as m:
+        _stop_at(m, publish.Files, "rename", 1)
+        with pytest.raises(RuntimeError):
+            t.append(spark.range(3).select(F.col("id").cast("int").alias("n")))
+    assert t.scan().count() == 0 and t.current().number == 0
+    t.append(spark.range(3).select(F.col("id").cast("int").alias("n")))
+    assert t.scan().count() == 3
+
+
+def test_catalog_of_tables(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "w"))
+    assert c.tables() == []
+    c.create("cpu", {"n": "int"}).append(spark.range(2).select(F.col("id").cast("int").alias("n")))
+    c.create("mem", {"n": "int"})
+    with pytest.raises(Conflict):
+        c.create("cpu", {"n": "int"})
+    for bad in ("../x", "a/b", "", ".hidden", "a b"):
+        with pytest.raises(ValueError):
+            c.create(bad, {"n": "int"})
+    with pytest.raises(Conflict):
+        c.rename("cpu", "mem")
+    c.rename("cpu", "cpu_2")
+    c.drop("mem")
+    assert c.tables() == ["cpu_2"] and c.load("cpu_2").scan().count() == 2
+    assert c.register() == ["versioned_cpu_2"] and spark.sql("SELECT count(*) FROM versioned_cpu_2").first()[0] == 2
+    with pytest.raises(LookupError):
+        c.load("mem")
+
+
+def test_points_into_a_table(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"measurement":"cpu","tags":{"host":"a"},"fields":{"v":"1.5"},"timestamp":5},{"measurement":"cpu","tags":{},"fields":{"v":"bad"},"timestamp":6},{"measurement":"cpu","tags":{},"fields":{},"timestamp":0},{"measurement":"cpu","tags":{},"fields":{"v":"{\\"Float\\":2.5}"},"timestamp":7}]')
+    good, _ = files.read_json_points(spark, str(tmp_path / "p.json"))
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.create({"timestamp": "timestamp_ntz", "tag_host": "string", "v": "double"})
+    _, n, bad = t.append_points(good)
+    assert (n, bad) == (2, 2) and sorted((r["tag_host"] or "", r["v"]) for r in t.scan().collect()) == [("", 2.5), ("a", 1.5)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"measurement":"cpu","tags":{"h":"a"},"fields":{"v":"1"},"timestamp":5},{"measurement":"cpu"}]')
     good, bad = files.read_json_points(spark, str(tmp_path / "p.json"))
@@ -164,6 +350,7 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "o")).count() == 2
     assert files.render(spark.range(5), "csv", 3) == (["0", "1", "2"], True)
     assert files.render(spark.range(1), "json") == (['{"id":0}'], False)
+    assert files.render(spark.sql("SELECT 1 AS value, CAST(NULL AS STRING) AS `a.b`"), "json") == (['{"value":1,"a.b":null}'], False)
 
 
 def test_fixtures(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def test_reads_pass(spark, text):
     sql.query(spark, text)
 
 
-@pytest.mark.parametrize("text", ["", "DROP TABLE x", "INSERT INTO t VALUES (1)", "CREATE TABLE x (a int)", "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "EXPLAIN DROP TABLE x", "SELECT " + "1," * 6000 + "1"])
+@pytest.mark.parametrize("text", ["", "DROP TABLE x", "INSERT INTO t VALUES (1)", "CREATE TABLE x (a int)", "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "EXPLAIN DROP TABLE x", "SELECT 1; SELECT 2", "SELEC 1", "SET a=b", "MERGE INTO a USING b ON a.x = b.x WHEN MATCHED THEN DELETE", "CACHE TABLE x", "FROM t INSERT INTO x SELECT 1", "SELECT " + "1," * 6000 + "1"])
 def test_writes_are_refused(text):
     with pytest.raises(sql.NotReadOnly):
         sql.check_read_only(text)
@@ -41,6 +42,47 @@ def test_ingest_is_idempotent(spark, stream, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+@pytest.mark.parametrize(("step", "nth"), [("write", 1), ("rename", 1), ("rename", 2)])
+def test_a_batch_that_died_is_finished(spark, stream, tmp_path, monkeypatch, step, nth):
+    from pyspark.errors import StreamingQueryException
+
+    from tidespan.operators import publish
+
+    real, calls = getattr(publish.Files, step), []
+
+    def dies(*a):
+        calls.append(1)
+        if len(calls) == nth:
+            raise RuntimeError("died")
+        return real(*a)
+
+    go = lambda: ingest.ingest(stream[1], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    with monkeypatch.context() as m:
+        m.setattr(publish.Files, step, dies)
+        with pytest.raises(StreamingQueryException):
+            go()
+    go()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_kept_state_is_bounded(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(days=k % 30, minutes=k), f"h{k % 12}", float(k)) for k in range(60)]
+    every = spark.createDataFrame(rows, "timestamp timestamp_ntz, tag_host string, v double")
+    os.mkdir(tmp_path / "in")
+    live = spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))
+    for part in (rows[:25], rows[25:40], rows[40:]):
+        spark.createDataFrame(part, every.schema).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.keep_last(live, str(tmp_path / "s"), str(tmp_path / "cp"), ["tag_host"], ["timestamp", "v"], cap=5, ttl_days=3).awaitTermination(90)
+    last = {}
+    for t, h, v in sorted(rows):
+        last[h] = (t, h, v)
+    edge = max(t for t, *_ in rows) - dt.timedelta(days=3)
+    want = sorted((r for r in last.values() if r[0] >= edge), reverse=True)[:5]
+    got = ingest.kept(spark, str(tmp_path / "s")).select("timestamp", "tag_host", "v").collect()
+    assert 0 < len(got) <= 5 and sorted(map(tuple, got), reverse=True)[0] == want[0]
+    assert sorted(n for n in os.listdir(tmp_path / "s") if n.startswith("state=")) == ["state=1", "state=2"]
+
+
 def run(df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(90)

@@ -64,12 +64,28 @@ def transform(kind: str, value: Column, n: int | None = None) -> Column:
     if kind == "void":
         return F.lit(None).cast("string")
     if kind == "bucket":
-        return F.pmod(F.hash(value), F.lit(n))
+        return F.pmod(F.hash(value.cast("string")), F.lit(n))  # the same for a number of any type
     if kind == "truncate":
         return F.substring(value, 1, n)
     raise ValueError(f"no such transform: {kind}")
 
 
+def partition_path(names: list[str], values: list[Column]) -> Column:
+    """``name=value/...``; null is the empty partition's name."""
+    parts = [F.concat(F.lit(f"{n}="), F.coalesce(v.cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for n, v in zip(names, values)]
+    return F.concat_ws("/", *parts)
+
+
+def key_hex(key: Column) -> Column:
+    """A key's bytes in lower-case hex; ``key_text`` reads it back."""
+    return F.lower(F.hex(key))
+
+
+def key_text(text: Column) -> Column:
+    """The text of a hex key; null for what is no hex."""
+    return F.unhex(text).cast("string")
+
+
 def is_safe_name(name: Column) -> Column:
     return F.coalesce(name.rlike(SAFE_NAME), F.lit(False))
 

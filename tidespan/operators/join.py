@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.timeseries import micros
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_on: str = "timestamp", right_on: str = "timestamp") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_on: str = "timestamp", right_on: str = "timestamp", width_micros: int | None = None) -> DataFrame:
     """Each left row with ``values`` of the last right row of the same ``by`` not after it (null if none).
 
-    One union and one window pass: no range condition, no pairs.
+    One union and one window pass: no range condition, no pairs. With ``width_micros`` a series is
+    cut into time ranges of that width, each a window of its own, and the last right row before a
+    range is carried into it; so a hot series is not one task.
     """
     r = right.select(*by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(right_on).alias("at"), *values).alias("__v"))
     l = left.select(*by, F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))  # noqa: E741
-    seen = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = r.unionByName(l, allowMissingColumns=True).withColumn("__last", F.last("__v", ignorenulls=True).over(seen)).where("__side = 1")
-    return out.select("__row.*", F.col("__last.at").alias("matched_at"), *[F.col(f"__last.{v}").alias(v) for v in values])
+    both = r.unionByName(l, allowMissingColumns=True)
+    if width_micros is None:
+        seen = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(seen))
+    else:
+        both = both.withColumn("__b", F.floor(micros(F.col("__t")) / width_micros))
+        ranges = both.groupBy(*by, "__b").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__t"))).alias("__own"))
+        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ranges.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__rb"), F.last("__own", ignorenulls=True).over(before).alias("__carry"))
+        on = [both[c].eqNullSafe(carried[f"__{c}"]) for c in by] + [both["__b"].eqNullSafe(carried["__rb"])]
+        seen = Window.partitionBy(*by, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        out = both.join(carried, on).withColumn("__last", F.coalesce(F.last("__v", ignorenulls=True).over(seen), F.col("__carry")))
+    return out.where("__side = 1").select("__row.*", F.col("__last.at").alias("matched_at"), *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], start: str, end: str, width_micros: int, on: str = "timestamp") -> DataFrame:

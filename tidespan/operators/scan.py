@@ -80,8 +80,8 @@ def as_of(df: DataFrame, seq: int, column: str = "write_seq") -> DataFrame:
     return df.where(F.col(column) <= seq)
 
 
-def page(df: DataFrame, key: str, start, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Keyset page: rows from ``start`` in key order, and a one-row frame telling if more follow."""
-    limit = max(1, min(limit, 200))
+def page(df: DataFrame, key: str, start, limit: int, cap: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Keyset page: rows from ``start`` in key order, ``cap`` at most, and a one-row frame telling if more follow."""
+    limit = max(1, min(limit, cap))
     rows = df.where(F.col(key) >= start).orderBy(key).limit(limit + 1)
     return rows.orderBy(key).limit(limit), rows.agg((F.count("*") > limit).alias("has_more"))

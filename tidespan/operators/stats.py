@@ -7,29 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.timeseries import age_days, eligible_tier
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: n_rows, n_nulls, low, high (as text; numbers by value). One pass."""
-    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    """One row for each column: kind, n_rows, n_nulls, low, high (as text, exact). One pass.
+
+    kind: integer, number or text; bounds are those by value of the kind.
+    """
     types = dict(df.dtypes)
-    shown = lambda c: c.cast("double").cast("string")
     aggs = []
     for c in columns:
-        low, high = F.min(c), F.max(c)
-        if types[c] in numeric:
-            low, high = shown(low), shown(high)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n_rows"), F.count(F.when(F.col(c).isNull(), 1)).alias("n_nulls"), low.cast("string").alias("low"), high.cast("string").alias("high")).alias(f"s_{c}"))
+        kind = "integer" if types[c] in INTEGERS else "number" if types[c] in ("float", "double") else "text"
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.count("*").alias("n_rows"), F.count(F.when(F.col(c).isNull(), 1)).alias("n_nulls"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")).alias(f"s_{c}"))
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("s")).select("s.*")
 
 
 def merge_stats(*parts: DataFrame) -> DataFrame:
-    """Statistics of numeric columns over several frames, from those of each."""
+    """Statistics over several frames, from those of each; a column that is integer in one and number in another is number."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    number = lambda c: F.col(c).cast("double")
-    return every.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"), F.min(number("low")).cast("string").alias("low"), F.max(number("high")).cast("string").alias("high"))
+    out = [F.when(F.bool_and(F.col("kind") == "integer"), "integer").when(F.bool_and(F.col("kind") != "text"), "number").otherwise("text").alias("kind"), F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls")]
+    for name, best in (("low", F.min), ("high", F.max)):
+        by = {k: best(F.col(name).try_cast(t)).cast("string") for k, t in (("integer", "bigint"), ("number", "double"), ("text", "string"))}
+        out.append(F.struct(*[v.alias(k) for k, v in by.items()]).alias(name))
+    merged = every.groupBy("column_name").agg(*out)
+    pick = lambda name: F.when(F.col("kind") == "integer", F.col(name)["integer"]).when(F.col("kind") == "number", F.col(name)["number"]).otherwise(F.col(name)["text"]).alias(name)
+    return merged.select("column_name", "kind", "n_rows", "n_nulls", pick("low"), pick("high"))
 
 
 def file_stats(df: DataFrame, tags: list[str]) -> DataFrame:

@@ -528,3 +528,5 @@ for _name, (_spark, _duck) in FAMILIES.items():
     QUERIES[_name] = _sql(_spark)
     if _duck is not None:
         ORACLES[_name] = _duck
+
+from . import storage_queries  # noqa: E402,F401  registers its queries here

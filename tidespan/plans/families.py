@@ -77,6 +77,8 @@ BOTH = {
 }
 
 PAIRS = {
+    "join_right_semi": ("SELECT n_nationkey, n_name FROM nation LEFT SEMI JOIN supplier ON s_nationkey = n_nationkey", "SELECT n_nationkey, n_name FROM nation SEMI JOIN supplier ON s_nationkey = n_nationkey"),
+    "join_right_anti": ("SELECT n_nationkey, n_name FROM nation LEFT ANTI JOIN supplier ON s_nationkey = n_nationkey", "SELECT n_nationkey, n_name FROM nation ANTI JOIN supplier ON s_nationkey = n_nationkey"),
     "fn_string_measure": ("SELECT p_partkey, length(p_name) AS a, char_length(p_name) AS b, octet_length(p_name) AS c, bit_length(p_name) AS d, ascii(p_brand) AS e, chr(65) AS f, levenshtein(p_brand, 'Brand#11') AS g FROM part", "SELECT p_partkey, length(p_name) AS a, char_length(p_name) AS b, strlen(p_name) AS c, bit_length(p_name) AS d, ascii(p_brand) AS e, chr(65) AS f, levenshtein(p_brand, 'Brand#11') AS g FROM part"),
     "fn_regexp": ("SELECT p_partkey, regexp_like(p_brand, '[0-9]+$') AS a FROM part", "SELECT p_partkey, regexp_matches(p_brand, '[0-9]+$') AS a FROM part"),
     "fn_math": ("SELECT event_id, abs(value - 50) AS a, ceil(value) AS b, floor(value) AS c, round(value, 2) AS d, round(sqrt(value), 8) AS e, round(cbrt(value), 8) AS f, round(power(value, 2), 4) AS g, round(ln(value + 1), 8) AS h, round(log10(value + 1), 8) AS i, round(log2(value + 1), 8) AS j, sign(value - 50) AS k, round(exp(value / 100), 8) AS l, round(pi(), 8) AS m FROM events", "SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS c, round(value, 2) AS d, round(sqrt(value), 8) AS e, round(cbrt(value), 8) AS f, round(power(value, 2), 4) AS g, round(ln(value + 1), 8) AS h, round(log10(value + 1), 8) AS i, round(log2(value + 1), 8) AS j, CAST(sign(value - 50) AS DOUBLE) AS k, round(exp(value / 100), 8) AS l, round(pi(), 8) AS m FROM events"),

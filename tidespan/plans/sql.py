@@ -4,48 +4,50 @@ from __future__ import annotations
 
 import threading
 import uuid
+from datetime import date
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_SQL_BYTES = 10_000
-READ_ONLY = ("select", "with", "values", "from", "table", "explain", "show", "describe", "desc")
-#: What may follow a common table expression or FROM and write.
-WRITES = {"insert", "merge", "update", "delete"}
-EXPLAIN_MODES = ("analyze", "extended", "codegen", "cost", "formatted")
+MAX_ROWS = 5_000
+#: Commands that only tell something.
+TELLING = ("Show", "Describe")
 
 
 class NotReadOnly(ValueError):
     pass
 
 
-def check_read_only(text: str) -> str:
-    """The statement, if it only reads; Spark parses and analyses it all the same."""
+def check_read_only(text: str, spark: SparkSession | None = None) -> str:
+    """The statement, if it only reads: Spark's parser tells queries, EXPLAIN, SHOW and DESCRIBE from all others."""
     body = text.strip().rstrip(";").strip()
     if not body:
         raise NotReadOnly("empty statement")
     if len(text.encode()) > MAX_SQL_BYTES:
         raise NotReadOnly(f"more than {MAX_SQL_BYTES} bytes")
-    words = body.replace("(", " ").lower().split()
-    if words[0] == "explain":
-        words = [w for w in words if w != "explain" and w not in EXPLAIN_MODES] or [""]
-    if words[0] not in READ_ONLY:
-        raise NotReadOnly(f"not a query: {words[0]}")
-    if words[0] in ("with", "from") and WRITES & set(_bare(body).replace("(", " ").replace(")", " ").split()):
-        raise NotReadOnly("the statement writes")
+    spark = spark or SparkSession.builder.getOrCreate()
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(body)]
+    except Exception as e:  # a parse error of Spark's own class
+        raise NotReadOnly(f"not one statement: {e}") from e
+    gateway, package = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst.plans.logical."
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            todo.append(plan.logicalPlan())
+        elif not name.startswith(TELLING) and any(is_instance_of(gateway, plan, package + c) for c in ("Command", "ParsedStatement")):
+            raise NotReadOnly(f"not a query: {name}")
+        inner = plan.children()
+        todo += [inner.apply(k) for k in range(inner.size())]
     return body
 
 
-def _bare(text: str) -> str:
-    """The statement in lower case without quoted parts."""
-    out, quote = [], None
-    for c in text.lower():
-        if quote:
-            quote = None if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        else:
-            out.append(c)
-    return "".join(out)
+def frame(spark: SparkSession, text: str) -> DataFrame:
+    """The result of a read-only statement, as a DataFrame."""
+    return spark.sql(check_read_only(text, spark))
 
 
 def union_tiers(*parts: DataFrame) -> DataFrame:
@@ -60,21 +62,30 @@ def register(name: str, *parts: DataFrame, hide: tuple[str, ...] = ("tags_hash",
     union_tiers(*parts).drop(*hide).createOrReplaceTempView(name)
 
 
-def query(spark: SparkSession, text: str, limit: int | None = None, timeout: float | None = None) -> tuple[list, bool]:
-    """Rows of a read-only query, at most ``limit``, and whether there are more; cancelled after ``timeout`` seconds."""
-    df = spark.sql(check_read_only(text))
+def measurement_view(spark: SparkSession, name: str, path: str, since: date | None = None) -> None:
+    """A view over a stored measurement's tiers; ``since`` restricts the days, so older partitions are not read."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    register(name, df if since is None else df.where(F.col("date") >= F.lit(since)))
+
+
+def query(spark: SparkSession, text: str, limit: int = MAX_ROWS, timeout: float | None = 30) -> tuple[list, bool]:
+    """Rows of a read-only statement for display, at most ``limit``, and whether there are more; cancelled after ``timeout`` seconds.
+
+    ``frame`` gives all rows, as a DataFrame.
+    """
+    df = frame(spark, text)
     tag = f"q-{uuid.uuid4().hex}"
     timer = threading.Timer(timeout, spark.sparkContext.cancelJobsWithTag, [tag]) if timeout else None
     spark.sparkContext.addJobTag(tag)
     try:
         if timer:
             timer.start()
-        rows = df.collect() if limit is None else df.take(limit + 1)
+        rows = df.take(limit + 1)
     finally:
         if timer:
             timer.cancel()
         spark.sparkContext.removeJobTag(tag)
-    return (rows, False) if limit is None else (rows[:limit], len(rows) > limit)
+    return rows[:limit], len(rows) > limit
 
 
 def tables(spark: SparkSession) -> list[str]:

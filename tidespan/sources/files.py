@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timeseries import micros
 from ..model import TAG, field_columns, tag_columns
 
 POINT = T.StructType([
@@ -52,6 +53,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*first, *sorted(tag_columns(df)), *sorted(field_columns(df))).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_json_points(df: DataFrame, path: str, measurement: str) -> None:
+    """A compact frame as JSON Lines of points: field values as JSON text, timestamp in microseconds."""
+    pairs = lambda names, cut, value: F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c[cut:]), value(F.col(c)))]) if names else F.create_map().cast("map<string,string>"), lambda k, v: v.isNotNull())
+    tags, fields = tag_columns(df), field_columns(df)
+    point = F.struct(F.lit(measurement).alias("measurement"), pairs(tags, len(TAG), lambda c: c).alias("tags"), pairs(fields, 0, lambda c: c.cast("string")).alias("fields"), micros(F.col("timestamp")).alias("timestamp"))
+    df.select(F.to_json(point).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -70,12 +79,23 @@ def from_arrow(spark: SparkSession, table) -> DataFrame:
     return spark.createDataFrame(table)
 
 
+def describe(spark: SparkSession, path: str) -> DataFrame:
+    """column_name, type, n_files, n_rows, n_bytes of a Parquet path, rows counted from the footers."""
+    df = spark.read.parquet(path)
+    total = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("b"), F.count("*").alias("n")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"))
+    names = spark.createDataFrame(df.dtypes, "column_name string, type string")
+    return names.join(F.broadcast(total))  # one row
+
+
+def rendered(df: DataFrame, kind: str) -> DataFrame:
+    """Each row as a json, csv or tsv line, in the column ``value``; nulls stay visible in json."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    if kind == "json":
+        return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_csv(row, {"sep": {"csv": ",", "tsv": "\t"}[kind]}).alias("value"))
+
+
 def render(df: DataFrame, kind: str, cap: int = 5000) -> tuple[list[str], bool]:
     """Up to ``cap`` result rows as json, csv or tsv lines, and whether there were more."""
-    if kind == "json":
-        lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
-    else:
-        sep = {"csv": ",", "tsv": "\t"}[kind]
-        lines = df.select(F.to_csv(F.struct(*df.columns), {"sep": sep}).alias("value"))
-    got = [r[0] for r in lines.take(cap + 1)]
+    got = [r[0] for r in rendered(df, kind).take(cap + 1)]
     return got[:cap], len(got) > cap
