@@ -521,7 +521,7 @@ def _ask(dealt: DataFrame, answer, blocks: DataFrame, name: str) -> DataFrame:
     spark = blocks.sparkSession
     said = dealt.groupBy("bucket").applyInArrow(answer, "block long, bucket long, data binary")
     said = said.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(name))  # no more than the block's entries
-    out = materialize(blocks.join(said, "block", "left"), f"line-{name}")
+    out = materialize(blocks.join(said.hint("merge"), "block", "left"), f"line-{name}")
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
 
 
