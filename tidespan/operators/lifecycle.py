@@ -37,8 +37,10 @@ def _partition(df: DataFrame, tier: str, day: date) -> DataFrame:
     return df.where((F.col("tier") == tier) & (F.col("date") == F.lit(day)))
 
 
-def _files(spark: SparkSession, path: str, tier: str, day: date) -> list[str]:
-    """The partition's files, relative to ``path``."""
+def _files(spark: SparkSession, path: str, tier: str, day: date | None) -> list[str]:
+    """The partition's files, or all of the tier's without a day, relative to ``path``."""
+    if day is None:
+        return [f"tier={tier}/{n}" for n in Files(spark).below(f"{path}/tier={tier}")]
     part = f"tier={tier}/date={day.isoformat()}"
     return [f"{part}/{n}" for n in Files(spark).list(f"{path}/{part}")]
 
@@ -75,13 +77,13 @@ def _newest(part: DataFrame, seq: str | None) -> DataFrame:
     return kept.repartitionByRange("date", *key).sortWithinPartitions("date", *key)
 
 
-def compact(spark: SparkSession, path: str, staging: str, day: date, tier: str = "active", seq: str | None = "write_seq", level: int = 2) -> DataFrame:
-    """Rewrite one partition: last write wins by (tags, timestamp), sorted by series and time.
+def compact(spark: SparkSession, path: str, staging: str, day: date | None = None, tier: str = "active", seq: str | None = "write_seq", level: int = 2) -> DataFrame:
+    """Rewrite one day of a tier, or in one job all of them: last write wins by (tags, timestamp), sorted by series and time.
 
     A null tag is one that is not set, like any other value. Files are as many as the rows need.
     """
-    _rewrite(spark, path, lambda: _files(spark, path, tier, day), f"{staging}/compact-{tier}-{day}", lambda df: _newest(df, seq), f"L{level}-", **LEVELS[level])
-    return _partition(read(spark, path), tier, day)
+    _rewrite(spark, path, lambda: _files(spark, path, tier, day), f"{staging}/compact-{tier}-{day or 'all'}", lambda df: _newest(df, seq), f"L{level}-", **LEVELS[level])
+    return read(spark, path).where(F.col("tier") == tier) if day is None else _partition(read(spark, path), tier, day)
 
 
 def compact_levels(spark: SparkSession, path: str, staging: str, tier: str = "active", seq: str | None = "write_seq") -> list[int]:

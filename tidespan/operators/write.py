@@ -28,8 +28,8 @@ def last_write_wins(df: DataFrame, key: list[str], seq: str = "write_seq", null_
 
 
 def merge_fields(df: DataFrame, key: list[str], fields: list[str], seq: str = "write_seq") -> DataFrame:
-    """One row for each key; each field has its last value that is not null."""
-    return df.groupBy(*key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields])
+    """One row for each key; each field has its last value that is not null (of equal ``seq`` the greatest)."""
+    return df.groupBy(*key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), _total(df, seq, [f]))).alias(f) for f in fields])
 
 
 def rank_writes(df: DataFrame, key: list[str], seq: str = "write_seq") -> DataFrame:

@@ -77,8 +77,8 @@ def scan_series(spark, sf_dir):
 @query(f"SELECT * FROM ({E_SQL}) WHERE event_id = 100")
 def point_lookup(spark, sf_dir):
     df = events(spark, sf_dir)
-    at = df.where("event_id = 100").select(F.col("timestamp").alias("at"), F.col("tag_event_type").alias("e"), F.col("tag_user_id").alias("u"))
-    return df.join(F.broadcast(at), (df["timestamp"] == at["at"]) & (df["tag_event_type"] == at["e"]) & (df["tag_user_id"] == at["u"]), "left_semi").limit(1)
+    p = df.where("event_id = 100").first()  # the point that is asked for
+    return scan.point_lookup(df, {"event_type": p["tag_event_type"], "user_id": p["tag_user_id"]}, p["timestamp"]) if p else df.limit(0)
 
 
 @query("SELECT idx, e.ts AS timestamp, e.value FROM (SELECT event_id AS idx, CASE WHEN event_id % 2 = 0 THEN user_id ELSE -1 END AS u, event_type AS t, ts AS at FROM events WHERE event_id < 50) q LEFT JOIN events e ON e.user_id = q.u AND e.event_type = q.t AND e.ts = q.at")
@@ -429,28 +429,31 @@ def version_diff(spark, sf_dir):
 
 
 def _stored(spark, sf_dir) -> str:
-    """A day of events, with a second write of every third, stored by tier and day."""
+    """All events, with a second write of every third, stored by tier and day."""
     path = new_path(spark, "measurement")
-    day = events(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'").withColumn("write_seq", F.lit(1))
-    write.append(day, path)
-    write.append(day.where("event_id % 3 = 0").withColumn("value", F.col("value") * 2).withColumn("write_seq", F.lit(2)), path)
+    first = events(spark, sf_dir).withColumn("write_seq", F.lit(1))
+    write.append(first, path)
+    write.append(first.where("event_id % 3 = 0").withColumn("value", F.col("value") * 2).withColumn("write_seq", F.lit(2)), path)
     return path
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11' QUALIFY row_number() OVER (PARTITION BY event_type, user_id, ts ORDER BY CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END DESC) = 1")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id, ts ORDER BY CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END DESC) = 1")
 def compaction_lww(spark, sf_dir):
     path = _stored(spark, sf_dir)
-    return lifecycle.compact(spark, path, new_path(spark, "staging"), dt.date(2024, 1, 10)).select("event_id", "value")
+    return lifecycle.compact(spark, path, new_path(spark, "staging")).select("event_id", "value")
 
 
-@query("SELECT 'warm' AS tier, count(*) + count(*) FILTER (event_id % 3 = 0) AS n FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+AGE = "date_diff('day', CAST(ts AS DATE), DATE '2024-01-15')"
+
+
+@query(f"SELECT CASE WHEN {AGE} > 14 THEN 'cold' WHEN {AGE} > 3 THEN 'warm' ELSE 'active' END AS tier, count(*) + count(*) FILTER (event_id % 3 = 0) AS n FROM events GROUP BY 1")
 def demoted_tier(spark, sf_dir):
     path = _stored(spark, sf_dir)
     lifecycle.demote_due(spark, path, new_path(spark, "staging"), dt.date(2024, 1, 15))
     return lifecycle.read(spark, path).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) + count(*) FILTER (event_id % 3 = 0) AS n_rows, min(ts) AS ts_min, max(ts) AS ts_max, min(event_type) AS low, max(event_type) AS high, CAST(0 AS BIGINT) AS nulls FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+@query("SELECT count(*) + count(*) FILTER (event_id % 3 = 0) AS n_rows, min(ts) AS ts_min, max(ts) AS ts_max, min(event_type) AS low, max(event_type) AS high, CAST(0 AS BIGINT) AS nulls FROM events")
 def file_statistics(spark, sf_dir):
     f = stats.file_stats(lifecycle.read(spark, _stored(spark, sf_dir)), ["tag_event_type"])
     return f.agg(F.sum("row_count").alias("n_rows"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.min("tag_event_type_min").alias("low"), F.max("tag_event_type_max").alias("high"), F.sum("tag_event_type_nulls").alias("nulls"))
@@ -464,9 +467,9 @@ def _restored(spark, sf_dir) -> DataFrame:
     return spark.read.schema(every.schema).json(path)
 
 
-@query("SELECT event_id, value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11'")
+@query("SELECT event_id, value FROM events")
 def archive_restore(spark, sf_dir):
-    return _restored(spark, sf_dir).where("timestamp >= '2024-01-10' AND timestamp < '2024-01-11'").select("event_id", "value")
+    return _restored(spark, sf_dir).select("event_id", "value")
 
 
 def _from_csv(spark, sf_dir) -> DataFrame:
@@ -476,9 +479,9 @@ def _from_csv(spark, sf_dir) -> DataFrame:
     return files.read_csv_points(spark, path)
 
 
-@query("SELECT event_id, event_type AS tag_event_type, value FROM events WHERE event_id < 200")
+@query("SELECT event_id, event_type AS tag_event_type, value FROM events")
 def csv_round_trip(spark, sf_dir):
-    return _from_csv(spark, sf_dir).where("event_id < 200").select("event_id", "tag_event_type", "value")
+    return _from_csv(spark, sf_dir).select("event_id", "tag_event_type", "value")
 
 
 @query("SELECT 'host_' || lpad(CAST(i % 10 AS VARCHAR), 4, '0') AS tag_host, count(*) AS n, CAST(sum(10 * i) AS BIGINT) AS total FROM range(1000) t(i) GROUP BY 1")

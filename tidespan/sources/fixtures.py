@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names, constants and formulas of the test measurements, as FIXTURES.md lists them.
 BASE_MICROS = 1_000_000_000
 
 
