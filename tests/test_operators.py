@@ -66,6 +66,12 @@ def test_merge_fields(spark):
     assert {r["k"]: (r["a"], r["b"]) for r in got.collect()} == {1: (2.0, "x"), 2: (None, None)}
 
 
+def test_merge_fields_breaks_ties(spark):
+    rows = [(1, a, 5) for a in (3.0, 1.0, None, 2.0)]
+    for order in (rows, rows[::-1]):
+        assert write.merge_fields(spark.createDataFrame(order, "k int, a double, write_seq int").repartition(3), ["k"], ["a"]).first() == (1, 3.0)
+
+
 def test_widen(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     assert write.widen(df, {"n": "double", "s": "string", "z": "bigint"}).first() == (1.0, "a", None)
@@ -180,6 +186,18 @@ def test_tag_values_survive_compaction(spark, tmp_path):
     assert sorted((r["tag_region"] is None, r["usage"]) for r in got.collect()) == [(False, 3.0), (True, 2.0)]
 
 
+def test_all_days_in_one_compaction(spark, tmp_path):
+    path, staging = str(tmp_path / "m"), str(tmp_path / "staging")
+    rows = [(T0 + dt.timedelta(days=k % 4), "a", float(s), s) for k in range(8) for s in range(3)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, tag_host string, usage double, write_seq int")
+    write.append(df, path)
+    write.append(df, path, "warm")
+    got = lifecycle.compact(spark, path, staging)
+    assert sorted((r["date"], r["usage"], r["tier"]) for r in got.collect()) == [(T0.date() + dt.timedelta(days=k), 2.0, "active") for k in range(4)]
+    assert lifecycle.read(spark, path).where("tier = 'warm'").count() == 24
+    assert lifecycle.compact(spark, path, staging).count() == 4  # a second run changes nothing
+
+
 def test_levels(spark, tmp_path):
     path, staging = str(tmp_path / "m"), str(tmp_path / "s")
     every = []
